@@ -2,12 +2,14 @@
 
 from ledgerline.llm.bpe import op1_byte_bpe
 from ledgerline.llm.decontaminate import OP9_SQL, op9_decontaminate
+from ledgerline.llm.quality import op7_quality
 from ledgerline.llm.secrets import op10_secrets
 from ledgerline.llm.simhash import op2_simhash
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
+    "op7_quality": op7_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
 }
