@@ -5,12 +5,14 @@ from ledgerline.llm.decontaminate import OP9_SQL, op9_decontaminate
 from ledgerline.llm.quality import op7_quality
 from ledgerline.llm.secrets import op10_secrets
 from ledgerline.llm.simhash import op2_simhash
+from ledgerline.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
     "op7_quality": op7_quality,
+    "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
 }
-ORACLES = {"op9_decontaminate": OP9_SQL}
+ORACLES = {"op8_warc": OP8_SQL, "op9_decontaminate": OP9_SQL}
