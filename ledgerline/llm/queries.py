@@ -2,6 +2,7 @@
 
 from ledgerline.llm.bpe import op1_byte_bpe
 from ledgerline.llm.decontaminate import OP9_SQL, op9_decontaminate
+from ledgerline.llm.flac import op4_flac
 from ledgerline.llm.quality import op7_quality
 from ledgerline.llm.secrets import op10_secrets
 from ledgerline.llm.simhash import op2_simhash
@@ -10,6 +11,7 @@ from ledgerline.llm.warc import OP8_SQL, op8_warc
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
+    "op4_flac": op4_flac,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
