@@ -4,6 +4,7 @@ from ledgerline.llm.bpe import op1_byte_bpe
 from ledgerline.llm.decontaminate import OP9_SQL, op9_decontaminate
 from ledgerline.llm.flac import op4_flac
 from ledgerline.llm.html_text import op6_html_text
+from ledgerline.llm.lm_scoring import op3_pitman_yor
 from ledgerline.llm.quality import op7_quality
 from ledgerline.llm.secrets import op10_secrets
 from ledgerline.llm.simhash import op2_simhash
@@ -12,6 +13,7 @@ from ledgerline.llm.warc import OP8_SQL, op8_warc
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
+    "op3_pitman_yor": op3_pitman_yor,
     "op4_flac": op4_flac,
     "op6_html_text": op6_html_text,
     "op7_quality": op7_quality,
