@@ -8,6 +8,7 @@ from ledgerline.llm.lm_scoring import op3_pitman_yor
 from ledgerline.llm.quality import op7_quality
 from ledgerline.llm.secrets import op10_secrets
 from ledgerline.llm.simhash import op2_simhash
+from ledgerline.llm.suffixes import op5_suffix_dedup
 from ledgerline.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_pitman_yor": op3_pitman_yor,
     "op4_flac": op4_flac,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_html_text": op6_html_text,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
