@@ -1,8 +1,8 @@
 """Operator 1: byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token is a linked list of parts. Every adjacent pair whose bytes are in the vocabulary waits in
-the bucket of its merge rank; a three-level bitmap over the ranks answers "lowest non-empty bucket"
-with three find-first-set steps. A popped position is stale, and skipped, if its pair has changed.
+the bucket of its merge rank; a two-level bitmap over the ranks answers "lowest non-empty bucket" with two
+find-first-set steps. A popped position is stale, and skipped, if its pair has changed.
 The work is near-linear in the pre-token, so one pre-token of a whole document is fine.
 
 Cases: a null or empty text has no tokens; repeated rows give repeated rows; extra columns are dropped.
@@ -20,48 +20,28 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import map_batches, sha256, table
 
-#: Pre-tokens above this many bytes, and pre-tokens beyond this many, are encoded but not remembered.
-CACHED_BYTES, CACHED = 64, 400_000
-#: Characters of text that are split into pre-tokens before they are encoded.
-WINDOW = 1 << 20
-
-
-class RankQueue:
-    """Positions by merge rank. Words of 64 bits summarise 64 ranks, 64 words, 4096 words."""
-
-    def __init__(self) -> None:
-        self.top, self.mid, self.low, self.buckets = 0, {}, {}, {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            a, b = rank >> 6, rank >> 12
-            self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-            self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-            self.top |= 1 << b
-        else:
-            heappush(bucket, at)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank's leftmost position."""
-        if not self.top:
-            return None
-        b = (self.top & -self.top).bit_length() - 1
-        word = self.mid[b]
-        a = b << 6 | (word & -word).bit_length() - 1
-        word = self.low[a]
-        rank = a << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[a] &= ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return rank, at
+#: Longer pre-tokens, in bytes, are encoded but not remembered; most pre-tokens in a generation of those that are.
+CACHED_BYTES, CACHED = 64, 700_000
+
+
+class _Known(dict):
+    """Pre-tokens that a worker has met, in two generations: what the older one holds moves up when it is
+    met again, and the rest of it goes when the younger one is full."""
+
+    def __init__(self, make) -> None:
+        self.make, self.older = make, {}
+
+    def __missing__(self, piece: str) -> str:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids, keep = self.make(piece)
+            if not keep:
+                return ids
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 class Codec:
@@ -73,55 +53,82 @@ class Codec:
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.named = {str(r): t for r, t in self.tokens.items()}
         self.splits = regex.compile(pattern)
-        self.known: dict[str, str] = {}
+        self.known = _Known(self.named_ids)
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token.
+
+        The rank queue: bit h of ``top`` says that ``low`` has a word h with a bit set, bit r of that word
+        that the bucket of rank 256 h + r isn't empty. A bucket is a heap of positions, leftmost first.
+        """
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
-        after, before, queue = list(range(1, n + 1)), list(range(-1, n - 1)), RankQueue()
-        for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                queue.push(r, i)
-        gone = bytearray(n + 1)
-        while (got := queue.pop()) is not None:
-            rank, i = got
-            if gone[i] or (j := after[i]) >= n or ranks.get(piece[i : (end := after[j])]) != rank:
+        n, get = len(piece), ranks.get
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        have: list[int | None] = [get(piece[i : i + 2]) for i in range(n - 1)]  # the rank of the pair at a position
+        have += (None, None)
+        top, low, buckets = 0, {}, {}
+        for i, r in enumerate(have):
+            if r is not None:
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    top |= 1 << (h := r >> 8)
+                    low[h] = low.get(h, 0) | 1 << (r & 255)
+        while top:
+            first = top & -top
+            high = first.bit_length() - 1
+            word = low[high]
+            bit = word & -word
+            rank = high << 8 | bit.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[high] = word = word ^ bit
+                if not word:
+                    top ^= first
+            if have[i] != rank:  # stale
                 continue
-            gone[j] = 1
-            after[i] = end
-            if end < n:
-                before[end] = i
-                if (r := ranks.get(piece[i : after[end]])) is not None:
-                    queue.push(r, i)
-            if (h := before[i]) >= 0 and (r := ranks.get(piece[h:end])) is not None:
-                queue.push(r, h)
+            j = after[i]
+            after[i] = end = after[j]
+            before[end] = i
+            have[j] = None
+            # The pairs that the merged part makes with its neighbours.
+            have[i] = r = get(piece[i : after[end]]) if end < n else None
+            left = before[i]
+            if left >= 0:
+                have[left] = s = get(piece[left:end])
+                todo = ((left, s), (i, r))
+            else:
+                todo = ((i, r),)
+            for at, r in todo:
+                if r is not None:
+                    if r in buckets:
+                        heappush(buckets[r], at)
+                    else:
+                        buckets[r] = [at]
+                        top |= 1 << (h := r >> 8)
+                        low[h] = low.get(h, 0) | 1 << (r & 255)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            j = after[i]
+            out.append(ranks[piece[i:j]])
+            i = j
         return out
 
-    def named_ids(self, piece: str) -> str:
-        """The ids of a pre-token as decimals joined by spaces; short ones are remembered."""
-        if (got := self.known.get(piece)) is None:
-            raw = piece.encode("utf-8", "surrogatepass")
-            got = " ".join(map(str, self.merge(raw)))
-            if len(raw) <= CACHED_BYTES:
-                if len(self.known) >= CACHED:
-                    self.known.clear()
-                self.known[piece] = got
-        return got
+    def named_ids(self, piece: str) -> tuple[str, bool]:
+        """The ids of a pre-token as decimals joined by spaces, and whether to remember them."""
+        raw = piece.encode("utf-8", "surrogatepass")
+        return " ".join(map(str, self.merge(raw))), len(raw) <= CACHED_BYTES
 
     def encode_text(self, text: str) -> str:
         """All ids of a text as decimals joined by spaces."""
-        parts = self.splits.findall(text)
-        try:
-            return " ".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            return " ".join(map(self.named_ids, parts))
+        return " ".join(map(self.known.__getitem__, self.splits.findall(text)))
 
     def encode(self, text: str | None) -> list[int]:
         return list(map(int, self.encode_text(text or "").split()))
