@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,3 +53,13 @@ def sha256(data: bytes | str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sample_texts(df: DataFrame, key: str, column: str, most: int) -> list[str]:
+    """The texts of at most ``most`` keys, those with the least hashes; keys are picked before texts are read.
+
+    Null keys are left out, a repeated key counts once, a null text is empty.
+    """
+    keys = [r[0] for r in df.select(key).where(F.col(key).isNotNull()).groupBy(key).agg(F.xxhash64(key).alias("_h")).orderBy("_h", key).limit(most).collect()]
+    rows = df.where(F.col(key).isin(keys)).groupBy(key).agg(F.max(F.coalesce(F.col(column), F.lit(""))).alias("_text")).orderBy(key)
+    return [r["_text"] for r in rows.collect()]

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import map_batches, table
+from ledgerline.llm.common import map_batches, sample_texts, table
 
 SAMPLE = 300
 #: Log-odds of marking, bound of the model's, weights of smoothness edges, and the scale to whole numbers.
@@ -266,8 +266,7 @@ def extract(page: str | None, weights: np.ndarray) -> str:
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page."""
     plain = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    sample = [r["html"] or "" for r in plain.orderBy(F.xxhash64("page_id", "url")).limit(SAMPLE).collect()]
-    weights = train(sample)
+    weights = train(sample_texts(plain, "page_id", "html", SAMPLE))
 
     def each(page_id: list, url: list, page: list) -> dict:
         text = [extract(p, weights) for p in page]

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, shared_dir, table, utf8
+from ledgerline.llm.common import cut, sample_texts, shared_dir, table, utf8
 
 MAGIC = (0x184D2A5D).to_bytes(4, "little")
 #: The dictionary is built from so many records (the smallest hashes of their ids; the only sample taken).
@@ -91,7 +91,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes the archives and returns their index: ``archive, offset, length`` a record."""
     spark = pages.sparkSession
     plain = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    sample = [utf8(r["html"]) for r in plain.orderBy(F.xxhash64("page_id", "url")).limit(SAMPLE).collect()]
+    sample = [utf8(t) for t in sample_texts(plain, "page_id", "html", SAMPLE)]
     dictionary = spark.sparkContext.broadcast(build_dictionary(sample))
     sha = F.sha1(F.col("html").cast("binary"))
     groups = cut(plain.select("page_id", sha.alias("sha"), F.length(F.col("html").cast("binary")).alias("n")).groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n")).where(f"copies > 1 AND n >= {LEAST}").select("sha", "first"))
