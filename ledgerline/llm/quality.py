@@ -83,19 +83,15 @@ class Model:
         return (log_weight - self.threshold) / TEMPERATURE - math.log(-math.log(min(u, 1 - 2.0**-53)))
 
 
-def _ratios(counts, folds: list[int], share: float) -> np.ndarray:
-    """Log ratios from the rows of some folds. A document counts once a bucket, so ``share``, the part of
-    documents that are target, makes the two models' sizes equal."""
-    target, raw = np.zeros(TABLE), np.zeros(TABLE)
-    for f in folds:
-        own = counts[counts.fold == f]
-        np.add.at(target, own.bucket.to_numpy(), own.good.to_numpy())
-        np.add.at(raw, own.bucket.to_numpy(), own.n.to_numpy())
-    if not 0 < share < 1:
-        return np.zeros(TABLE, np.float32)
-    out = np.log((target / share + SMOOTHING) / (raw + SMOOTHING))
-    out[np.abs(target - share * raw) < SURE * np.sqrt(raw * share * (1 - share) + 1)] = 0
-    return out.astype(np.float32)
+def _ratios(counts: DataFrame, good: str, n: str, share: float) -> np.ndarray:
+    """Log ratios by bucket. A document counts once a bucket, so ``share``, the part of documents that are
+    target, makes the two models' sizes equal. Only buckets that weigh something reach the driver."""
+    out = np.zeros(TABLE, np.float32)
+    if 0 < share < 1:
+        rows = counts.selectExpr("bucket", f"{good} AS good", f"{n} AS n")
+        for bucket, target, raw in rows.where(f"abs(good - {share!r}D * n) >= {SURE}D * sqrt(n * {share * (1 - share)!r}D + 1)").collect():
+            out[bucket] = math.log((target / share + SMOOTHING) / (raw + SMOOTHING))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -120,15 +116,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), fold, np.int32)), pa.array(at.astype(np.int32)), pa.array(held[fold, 1, at].astype(np.int64)), pa.array(held[fold].sum(axis=0)[at].astype(np.int64))], names=["fold", "bucket", "good", "n"])
 
     share = sum(good for good, _ in chosen.values()) / max(1, len(chosen))
-    counts = texts.mapInArrow(count, "fold int, bucket int, good long, n long").groupBy("fold", "bucket").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).toPandas()
-    trial = spark.sparkContext.broadcast(_ratios(counts, [0], share))
+    first = lambda c: F.coalesce(F.sum(F.when(F.col("fold") == 0, F.col(c))), F.lit(0))
+    counts = cut(
+        texts.mapInArrow(count, "fold int, bucket int, good long, n long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("n").alias("n"), first("good").alias("good_0"), first("n").alias("n_0"))
+    )
+    trial = spark.sparkContext.broadcast(_ratios(counts, "good_0", "n_0", share))
 
     def calibrate(doc_id: list, text: list) -> dict:
         rows = [(float(trial.value[features(t)].sum(dtype=np.float64)), sent.value[i][0]) for i, t in zip(doc_id, text) if i in sent.value and sent.value[i][1]]
         return {"w": [r[0] for r in rows], "good": [r[1] for r in rows]}
 
-    held_out = map_batches(texts, calibrate, "w double, good boolean").toPandas().sort_values(["w", "good"])
-    good, w = held_out.good.to_numpy(bool), held_out.w.to_numpy()
+    held_out = sorted((r["w"], r["good"]) for r in map_batches(texts, calibrate, "w double, good boolean").collect())
+    good, w = np.array([g for _, g in held_out], bool), np.array([x for x, _ in held_out])
     if good.all() or not good.any():
         return Model(np.zeros(TABLE, np.float32), -math.inf)
     # Cutting below row i rejects the first i rows; equal weights are not cut apart.
@@ -136,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     merit[1:-1][w[1:] == w[:-1]] = -np.inf
     i = int(np.argmax(merit))
     threshold = w[0] - 1 if i == 0 else w[-1] + 1 if i == len(w) else (w[i - 1] + w[i]) / 2
-    return Model(_ratios(counts, [0, 1], share), float(threshold))
+    return Model(_ratios(counts, "good", "n", share), float(threshold))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
