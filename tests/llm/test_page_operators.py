@@ -1,0 +1,87 @@
+"""Small tests of the operators on pages, and of the pipeline as a whole."""
+
+import glob
+
+import pytest
+
+from ledgerline.llm import html_text, warc
+from ledgerline.llm.common import shared_dir
+
+from .conftest import pairs, prose
+
+ARTICLE = f"<article><h1>Title &amp; more</h1><p>{prose(1, 60)}.<p><b>{prose(2, 40)}</b>,\n  {prose(3, 9)}.<br>tail</article>"
+PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><article>x";</script></head><body class="has-menu"><header>Site</header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav>
+<!-- <p>not this</p> --><div class="ad">Buy {prose(4, 12)} now.</div>{ARTICLE}<aside>{prose(5, 20)}</aside><div id="comments"><p>{prose(6, 30)}.</p></div><form><p>Name {prose(7, 9)}</p></form><footer>&copy; {prose(8, 9)}</footer></body></html>"""
+TEXT = f"Title & more\n\n{prose(1, 60)}.\n\n{prose(2, 40)}, {prose(3, 9)}. tail"
+PAGES = [(1, "u", PAGE), (2, "u", PAGE), (3, None, None), (4, "u", ""), (None, "u", "<p"), (5, "u", PAGE[: PAGE.index("<footer>") + 15]), (5, "u", PAGE[: PAGE.index("<footer>") + 15]), (6, "u", "<script>x"), (7, "u", "<ul>" + "<li><a href=x>y</a>" * 3000)]
+SCHEMA = "page_id long, url string, html string, sha string, first long, text string"
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return spark.createDataFrame([(*p, "s", 9, "t") for p in PAGES], SCHEMA).repartition(3)
+
+
+def test_main_text(pages, spark):
+    out = pairs(html_text.main_text(pages), "page_id", "url", "text", "n_chars")
+    want = {1: TEXT, 2: TEXT, 5: TEXT, 3: "", 4: "", None: "", 6: "", 7: ""}
+    assert len(out) == len(PAGES) and all(text == want[i] and n == len(text) for i, _, text, n in out)
+    assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+def test_unmarked_pages_are_separated_by_the_model():
+    weights = html_text.train([PAGE] * 3)
+    body = "".join(f"<p>{prose(k, 50)}, and {prose(k + 50, 30)}.</p>" for k in range(20, 25))
+    out = html_text.extract(f"<div><a href=1>one</a><a href=2>two</a></div><div>{body}</div><div><a href=3>three</a></div>", weights)
+    assert out.count("\n\n") == 4 and "one" not in out.split() and "three" not in out.split()
+
+
+def test_minimum_cut_is_the_best_labelling():
+    import itertools
+    import random
+
+    r = random.Random(3)
+    for _ in range(60):
+        n = r.randrange(1, 8)
+        gain = [r.randrange(-9, 10) for _ in range(n)]
+        edges = [(a, b, r.randrange(1, 6)) for a in range(n) for b in range(a) if r.random() < 0.5]
+        value = lambda x: sum(g for g, c in zip(gain, x) if c) - sum(w for a, b, w in edges if x[a] != x[b])
+        assert value(html_text.minimum_cut(gain, edges)) == max(map(value, itertools.product([False, True], repeat=n)))
+
+
+def test_archives_round_trip(pages, spark):
+    folder = shared_dir(spark) + "/archives"
+    index = warc.write_archives(pages, folder)
+    out = warc.read_records(index, folder).collect()
+    first = {}
+    for i, _, h in PAGES:
+        first[h or ""] = max(first.get(h or "", -1), i if i is not None else -1)
+    assert sorted((r.page_id for r in out), key=repr) == sorted((p[0] for p in PAGES), key=repr)
+    by_id = {p[0]: p[2] or "" for p in PAGES}
+    for r in out:
+        html = by_id[r.page_id]
+        assert r.payload_bytes == len(html.encode()) and r.payload_digest == warc.digest(html.encode())
+        copies = sum((p[2] or "") == html for p in PAGES) > 1
+        if copies and r.page_id != first[html]:
+            assert (r.record_type, r.refers_to, r.payload) == ("revisit", first[html], None)
+        else:
+            assert (r.record_type, r.refers_to, bytes(r.payload)) == ("response", None, html.encode())
+    alone = [warc.parse(x) for f in glob.glob(folder.removeprefix("file:") + "/*.zst") for x in warc.read_frames(open(f, "rb").read())]
+    assert len(alone) == len(PAGES)
+    assert warc.read_records(warc.write_archives(pages.limit(0), folder + "0"), folder + "0").count() == 0
+
+
+def test_pipeline_on_the_smallest_tables(spark):
+    import corpus_pipeline as C
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = docs.count()
+    for name, stage in C.STAGES[:-1]:
+        after = stage(spark, docs, folder)
+        assert after.columns == docs.columns, name
+        n = after.count()
+        assert 0 < n <= before, name
+        docs, before = spark.createDataFrame(after.collect(), docs.schema), n
+    out = C.run(spark, folder)
+    assert out.count() == before and {"doc_id", "n_tokens", "token_ids"} <= set(out.columns)
