@@ -14,6 +14,7 @@ import base64
 from functools import lru_cache
 from heapq import heappop, heappush
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import map_batches, sha256, table
 
 #: Longer pre-tokens, in bytes, are encoded but not remembered; most pre-tokens in a generation of those that are.
-CACHED_BYTES, CACHED = 64, 700_000
+CACHED_BYTES, CACHED = 64, 450_000
 
 
 class _Known(dict):
@@ -52,6 +53,8 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.named = {str(r): t for r, t in self.tokens.items()}
+        self.pairs = [[self.ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
+        self.words = max(self.tokens) // 256 + 1
         self.splits = regex.compile(pattern)
         self.known = _Known(self.named_ids)
 
@@ -59,61 +62,72 @@ class Codec:
         """The ids of one pre-token.
 
         The rank queue: bit h of ``top`` says that ``low`` has a word h with a bit set, bit r of that word
-        that the bucket of rank 256 h + r isn't empty. A bucket is a heap of positions, leftmost first.
+        that the bucket of rank 256 h + r isn't empty. The leftmost position of a bucket goes first.
         """
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return [whole]
         n, get = len(piece), ranks.get
         after, before = list(range(1, n + 2)), list(range(-1, n))
-        have: list[int | None] = [get(piece[i : i + 2]) for i in range(n - 1)]  # the rank of the pair at a position
-        have += (None, None)
-        top, low, buckets = 0, {}, {}
+        pairs = self.pairs
+        have = [pairs[a][b] for a, b in zip(piece, piece[1:])]  # the rank of the pair at a position, or -1
+        have += (-1, -1)
+        # A bucket is one position, or a heap of them.
+        top, low, buckets = 0, [0] * self.words, {}
         for i, r in enumerate(have):
-            if r is not None:
-                if r in buckets:
-                    buckets[r].append(i)
+            if r >= 0:
+                if r not in buckets:
+                    buckets[r] = i
+                    h = r >> 8
+                    if not low[h]:
+                        top |= 1 << h
+                    low[h] |= 1 << (r & 255)
+                elif type(bucket := buckets[r]) is int:
+                    buckets[r] = [bucket, i]
                 else:
-                    buckets[r] = [i]
-                    top |= 1 << (h := r >> 8)
-                    low[h] = low.get(h, 0) | 1 << (r & 255)
+                    bucket.append(i)
         while top:
             first = top & -top
             high = first.bit_length() - 1
             word = low[high]
             bit = word & -word
             rank = high << 8 | bit.bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
-            else:
-                i = bucket[0]
+            i = buckets[rank]
+            if type(i) is int:
                 del buckets[rank]
                 low[high] = word = word ^ bit
                 if not word:
                     top ^= first
+            else:
+                bucket, i = i, heappop(i)
+                if len(bucket) == 1:
+                    buckets[rank] = bucket[0]
             if have[i] != rank:  # stale
                 continue
             j = after[i]
             after[i] = end = after[j]
             before[end] = i
-            have[j] = None
-            # The pairs that the merged part makes with its neighbours.
-            have[i] = r = get(piece[i : after[end]]) if end < n else None
-            left = before[i]
-            if left >= 0:
-                have[left] = s = get(piece[left:end])
-                todo = ((left, s), (i, r))
-            else:
-                todo = ((i, r),)
-            for at, r in todo:
+            have[j] = have[i] = -1
+            # The pairs that the merged part makes with its neighbours, right and left.
+            at = i
+            r = get(piece[i : after[end]]) if end < n else None
+            while True:
                 if r is not None:
-                    if r in buckets:
-                        heappush(buckets[r], at)
+                    have[at] = r
+                    if r not in buckets:
+                        buckets[r] = at
+                        h = r >> 8
+                        if not low[h]:
+                            top |= 1 << h
+                        low[h] |= 1 << (r & 255)
+                    elif type(bucket := buckets[r]) is int:
+                        buckets[r] = [bucket, at] if bucket < at else [at, bucket]
                     else:
-                        buckets[r] = [at]
-                        top |= 1 << (h := r >> 8)
-                        low[h] = low.get(h, 0) | 1 << (r & 255)
+                        heappush(bucket, at)
+                if at != i or (at := before[i]) < 0:
+                    break
+                have[at] = -1
+                r = get(piece[at:end])
         out, i = [], 0
         while i < n:
             j = after[i]
@@ -159,7 +173,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, ids: bool =
             out["ids_sha256"].append(sha256(named))
             out["decoded_sha256"].append(sha256(tok.decode_text(named)))
             if ids:
-                out["token_ids"].append(list(map(int, named.split())))
+                out["token_ids"].append(np.fromstring(named, np.int32, sep=" ") if named else np.zeros(0, np.int32))
         return out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows whose texts and results are Python objects at one time.
+ROWS = 512
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see; a session without one (a local test) gets a temporary folder."""
     sc = spark.sparkContext
@@ -32,8 +36,9 @@ def map_batches(df: DataFrame, each: Callable[..., dict[str, list]], schema: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(each(*(c.to_pylist() for c in batch.columns)), schema=target)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_pydict(each(*(c.to_pylist() for c in part.columns)), schema=target)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
