@@ -37,7 +37,7 @@ from ledgerline.llm.blocks import bucket_count, edges, pack, to_blocks, unpack
 from ledgerline.llm.common import cut, table, utf8
 
 WINDOW, GRAM = 200, 100
-BLOCK_CHARS = 3 << 20
+BLOCK_CHARS = 1 << 20
 _NEAR = WINDOW - GRAM + 1
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -53,11 +53,18 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_held: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """1, base, base squared, ...; kept for the blocks that follow unless a text is much longer than a block."""
+    if (out := _held.get(base)) is None or len(out) < n:
+        out = np.full(n + n // 8, base, np.uint64)
+        out[:1] = 1
+        out = np.cumprod(out, dtype=np.uint64)
+        if n <= 2 * BLOCK_CHARS:
+            _held[base] = out
+    return out[:n]
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -89,11 +96,12 @@ class Texts:
         if n < WINDOW:
             return
         up, self.back = _powers(_BASE, n), _powers(_BACK, n)
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(_ANCHOR[self.raw] * up, dtype=np.uint64)))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_ANCHOR[self.raw] * up, out=sums[1:])
         grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * self.back[: n - GRAM + 1])
         del sums
-        self.sums = np.concatenate(([np.uint64(0)], np.cumsum(_CONTENT[self.raw] * up, dtype=np.uint64)))
-        del up
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_CONTENT[self.raw] * up, out=self.sums[1:])
         least = _sliding(grams, _NEAR, np.minimum)
         valid = np.zeros(len(least), bool)
         for end, size in zip(self.ends.tolist(), self.sizes.tolist()):
