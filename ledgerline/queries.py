@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import book, latency, traffic
+from ledgerline.operators import book, latency, publish, traffic
 from ledgerline.operators.fold import locate_digests
 from ledgerline.plans.adapter import MESSAGES_SQL, PACKETS_SQL, directory, line_packets, messages, micros
 from ledgerline.plans.effects import EFFECTS_SQL, deltas, effects, staged_effects
@@ -371,3 +371,74 @@ def median_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_RUNS} SELECT event_type, median(messages)::DOUBLE AS median, min(messages) AS least, max(messages) AS largest, round((max(messages) - min(messages)) / median(messages) * 1000000)::BIGINT AS rel_millionths FROM runs GROUP BY event_type")
 def run_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency.spread(_runs(spark, sf_dir), ["event_type"], "messages")
+
+
+# --- smaller pieces of the feed and network paths ------------------------------------------------------------
+
+
+@query(f"""WITH {MESSAGES_SQL} SELECT type, count(*) AS n, coalesce(sum(shares) FILTER (type <> 'D'), 0)::BIGINT AS shares, coalesce(sum(price) FILTER (type IN ('A', 'C', 'U')), 0)::BIGINT AS price,
+  count(*) FILTER (type = 'U') AS new_refs, count(*) FILTER (side = 'B') AS bids FROM msg GROUP BY type""")
+def feed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream as binary frames and decoded again, partition by partition."""
+
+    def run(batches):
+        from ledgerline.sources.feed import decode_columns, encode
+
+        for batch in batches:
+            for part in (batch.slice(at, 8192) for at in range(0, batch.num_rows, 8192)):
+                rows = part.to_pylist()
+                data = b"".join(encode(r["type"], r["ts_us"] % (1 << 47), r["locate"] or 0, ref=r["root"], new_ref=r["root"] + 1, side=r["side"] or "", shares=r["shares"], price=r["price"]) for r in rows)
+                yield decode_columns(data, rows[0]["seq"]).select(["type", "shares", "price", "new_ref", "side"])
+
+    source = messages(spark, sf_dir).select("seq", "ts_us", "type", "root", "locate", "side", "price", "shares")
+    decoded = source.mapInArrow(run, "type string, shares long, price long, new_ref long, side string")
+    return decoded.groupBy("type").agg(F.count("*").alias("n"), F.coalesce(F.sum("shares"), F.lit(0)).alias("shares"), F.coalesce(F.sum("price"), F.lit(0)).alias("price"), F.count("new_ref").alias("new_refs"), F.count_if(F.col("side") == "B").alias("bids"))
+
+
+@query(f"WITH {MESSAGES_SQL} SELECT a.seq, i.seq AS index_seq, a.seq - i.seq AS steps, i.ts_us AS index_ts_us FROM msg a JOIN msg i ON (a.seq - 1) // 64 = (i.seq - 1) // 64 AND (i.seq - 1) % 64 = 0 WHERE a.seq % 997 = 0")
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of a sparse index (one in 64) that each asked sequence starts from: an equi-join on the slot."""
+    m, slot = messages(spark, sf_dir), F.expr("(seq - 1) div 64").alias("slot")
+    index = m.where("(seq - 1) % 64 = 0").select(slot, F.col("seq").alias("index_seq"), F.col("ts_us").alias("index_ts_us"))
+    return m.where("seq % 997 = 0").select("seq", slot).join(index, "slot").select("seq", "index_seq", (F.col("seq") - F.col("index_seq")).alias("steps"), "index_ts_us")
+
+
+@query("SELECT n_name AS symbol, min(n_nationkey + 1)::INT AS locate FROM nation GROUP BY n_name")
+def symbol_locates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directory(spark, sf_dir).groupBy("symbol").agg(F.min("locate").alias("locate"))
+
+
+@query(f"""WITH {PACKETS_SQL}, s AS (SELECT *, CASE WHEN packet % 50 = 7 THEN 'OTHER     ' ELSE 'DAY1      ' END AS session FROM copies),
+f AS (SELECT arg_min(session, arrival * 10 + line) AS session FROM s) SELECT s.line, count(*) FILTER (s.session = f.session) AS accepted, count(*) FILTER (s.session <> f.session) AS bad_session FROM s, f GROUP BY s.line""")
+def session_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session seen first wins; packets of others are counted and left out."""
+    session = F.rpad(F.when(F.col("packet") % 50 == 7, "OTHER").otherwise("DAY1"), 10, " ")
+    packets = line_packets(spark, sf_dir).withColumn("session", session)
+    first = packets.agg(F.min_by("session", F.struct("arrival", "line"))).first()[0]
+    return packets.groupBy("line").agg(F.count_if(F.col("session") == F.lit(first)).alias("accepted"), F.count_if(F.col("session") != F.lit(first)).alias("bad_session"))
+
+
+@query("""WITH t AS (SELECT event_type, event_id * 1000 AS t0, event_id * 1000 + event_id * 37 % 500 - 50 AS t1, event_id * 1000 + event_id * 37 % 500 + event_id * 13 % 90 AS t2 FROM events)
+SELECT event_type, count(*) AS n, sum(greatest(t1 - t0, 0))::BIGINT AS queue_ns, sum(t2 - t1)::BIGINT AS book_ns, sum(greatest(t1 - t0, 0) + t2 - t1)::BIGINT AS total_ns, max(greatest(t1 - t0, 0) + t2 - t1) AS largest_ns FROM t GROUP BY event_type""")
+def latency_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time in the queue (not below 0), in the book, and both."""
+    e = F.col("event_id")
+    stamps = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", (e * 1000).alias("t0"), (e * 1000 + e * 37 % 500 - 50).alias("t1"), (e * 1000 + e * 37 % 500 + e * 13 % 90).alias("t2"))
+    queue, in_book = F.greatest(F.col("t1") - F.col("t0"), F.lit(0)), F.col("t2") - F.col("t1")
+    return stamps.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(queue).alias("queue_ns"), F.sum(in_book).alias("book_ns"), F.sum(queue + in_book).alias("total_ns"), F.max(queue + in_book).alias("largest_ns"))
+
+
+@query("""WITH r AS (SELECT event_type, event_id, floor(abs(value) * 1000)::BIGINT AS ns FROM events WHERE value IS NOT NULL),
+w AS (SELECT *, event_id - lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS gap, row_number() OVER (PARTITION BY event_type ORDER BY ns, event_id) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM r)
+SELECT event_type, count(*) AS received, coalesce(sum(greatest(gap, 0)), 0)::BIGINT AS missed, median(ns)::DOUBLE AS median, max(ns) FILTER (place = least(n - 1, n * 99 // 100)) AS p99 FROM w GROUP BY event_type""")
+def subscriber_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    received = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL").select("event_type", "event_id", F.floor(F.abs("value") * 1000).alias("ns"))
+    return publish.subscriber_summary(received, "event_type", "event_id", "ns")
+
+
+@query()
+def suppressed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level snapshots that differ from the one sent last for their level, or come 20,000 messages after it."""
+    after = book.levels_after_each(_deltas(spark, sf_dir))
+    key = F.concat_ws(":", "locate", "side", "price")
+    return publish.suppress(after.select(key.alias("level"), "seq", "orders", "shares").groupBy("level", "seq").agg(F.max("orders").alias("orders"), F.max("shares").alias("shares")), "level", "seq", "seq", ["orders", "shares"], 20_000)
