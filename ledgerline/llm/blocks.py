@@ -45,28 +45,22 @@ def crc_fold(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7
 
 
-def to_blocks(texts: DataFrame, size: int, make: Callable[[int, list], dict], schema: str, arrow: pa.Schema) -> DataFrame:
+def block_rows(batches: Iterator[pa.RecordBatch], size: int, make: Callable[[int, list], dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Runs of (doc_id, text) rows of at most ``size`` characters (one text at least) become rows of ``make``."""
+    from pyspark import TaskContext
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number, held, chars = TaskContext.get().partitionId() << 32, [], 0
+    number, held, chars = TaskContext.get().partitionId() << 32, [], 0
+    for batch in batches:
+        for k in range(batch.num_rows):
+            text = batch.column(1)[k].as_py()
+            if held and chars + len(text or "") > size:
+                yield pa.RecordBatch.from_pydict({c: [v] for c, v in make(number, held).items()}, schema=schema)
+                number, held, chars = number + 1, [], 0
+            held.append((batch.column(0)[k].as_py(), text))
+            chars += len(text or "")
+    if held:
+        yield pa.RecordBatch.from_pydict({c: [v] for c, v in make(number, held).items()}, schema=schema)
 
-        def flush() -> pa.RecordBatch:
-            nonlocal number, held, chars
-            row = make(number, held)
-            number, held, chars = number + 1, [], 0
-            return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, schema=arrow)
 
-        for batch in batches:
-            for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_py()
-                if held and chars + len(text or "") > size:
-                    yield flush()
-                held.append((batch.column(0)[k].as_py(), text))
-                chars += len(text or "")
-        if held:
-            yield flush()
-
-    return texts.mapInArrow(run, schema)
+def to_blocks(texts: DataFrame, size: int, make: Callable[[int, list], dict], schema: str, arrow: pa.Schema) -> DataFrame:
+    return texts.mapInArrow(lambda batches: block_rows(batches, size, make, arrow), schema)

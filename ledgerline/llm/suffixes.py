@@ -24,17 +24,20 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from types import SimpleNamespace
+import io
+import pickle
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.blocks import bucket_count, edges, pack, to_blocks, unpack
-from ledgerline.llm.common import cut, table, utf8
+from ledgerline.llm.blocks import block_rows, bucket_count, edges, pack, unpack
+from ledgerline.llm.common import cut, shared_dir, table, utf8
 
 WINDOW, GRAM = 200, 100
 BLOCK_CHARS = 1 << 20
@@ -173,49 +176,72 @@ def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
 
 
-_BLOCK = "block long, docs binary, sizes binary, texts binary, a binary, s binary, n binary, n_keys long"
-_BLOCK_ARROW = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in "docs sizes texts a s n".split()), ("n_keys", pa.int64())])
+_BLOCK = "block long, file string, at long, length long, a binary, s binary, n binary, n_keys long"
+_BLOCK_ARROW = pa.schema([("block", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64()), ("a", pa.binary()), ("s", pa.binary()), ("n", pa.binary()), ("n_keys", pa.int64())])
 
 
-def _packed(doc_ids: list, texts: list[bytes]) -> dict:
-    return {
-        "docs": pack(np.array([[i is None, i or 0] for i in doc_ids], np.int64).reshape(-1, 2), np.int64), "sizes": pack(np.array([len(t) for t in texts]), np.int64),
-        "texts": zstandard.ZstdCompressor(level=3, write_content_size=True).compress(b"".join(texts)),
-    }
+def store_blocks(texts: DataFrame, folder: str) -> DataFrame:
+    """Blocks of documents. Their texts go to files in the shared folder, one a task attempt, and stay there:
+    what is shuffled later is digits, codes and the places of blocks in files."""
 
+    def run(batches):
+        store, root = fs.FileSystem.from_uri(folder)
+        held: dict = {}
 
-def _unpacked(docs: bytes, sizes: bytes, texts: bytes) -> tuple[list, list[bytes]]:
-    ids = [None if none else i for none, i in unpack(docs, np.int64).reshape(-1, 2).tolist()]
-    raw, out, at = zstandard.ZstdDecompressor().decompress(texts), [], 0
-    for n in unpack(sizes, np.int64).tolist():
-        out.append(raw[at : at + n])
-        at += n
-    return ids, out
+        def make(number: int, rows: list) -> dict:
+            raw = [utf8(t) for _, t in rows]
+            blob = zstandard.ZstdCompressor(level=3, write_content_size=True).compress(
+                pickle.dumps(([i for i, _ in rows], [len(t) for t in raw])) + b"".join(raw)
+            )
+            if not held:
+                store.create_dir(root, recursive=True)
+                held.update(file=f"texts-{uuid.uuid4().hex}", at=0)
+                held["out"] = store.open_output_stream(f"{root}/{held['file']}")
+            held["out"].write(blob)
+            at, held["at"] = held["at"], held["at"] + len(blob)
+            a, s, n = Texts(raw).digits()
+            return {"block": number, "file": held["file"], "at": at, "length": len(blob), "a": pack(a, np.uint64), "s": pack(s, np.uint64), "n": pack(n, np.uint8), "n_keys": len(a)}
 
+        yield from block_rows(batches, BLOCK_CHARS, make, _BLOCK_ARROW)
+        if held:
+            held["out"].close()
 
-def make_block(number: int, rows: list) -> dict:
-    texts = [utf8(t) for _, t in rows]
-    a, s, n = Texts(texts).digits()
-    return {"block": number, **_packed([i for i, _ in rows], texts), "a": pack(a, np.uint64), "s": pack(s, np.uint64), "n": pack(n, np.uint8), "n_keys": len(a)}
+    return texts.mapInArrow(run, _BLOCK)
+
+
+class Stored:
+    """Reads blocks back by their places."""
+
+    def __init__(self, folder: str) -> None:
+        self.store, self.root = fs.FileSystem.from_uri(folder)
+
+    def __call__(self, place: dict) -> tuple[list, list[bytes]]:
+        with self.store.open_input_file(f"{self.root}/{place['file']}") as file:
+            data = io.BytesIO(zstandard.ZstdDecompressor().decompress(file.read_at(place["length"], place["at"])))
+        ids, sizes = pickle.load(data)
+        return ids, [data.read(n) for n in sizes]
 
 
 _ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("s", pa.binary()), ("n", pa.binary())])
+_ASKED = "bucket int, block long, a binary, s binary, n binary"
 
 
-def _ask(blocks: DataFrame, buckets: int) -> DataFrame:
-    """The part of each block's sorted digits that belongs to each bucket."""
+def _split(block: int, a: np.ndarray, s: np.ndarray, n: np.ndarray, buckets: int):
+    """The part of a block's sorted digits that belongs to each bucket."""
+    at = edges(a, buckets)
+    for b in range(buckets):
+        x, y = at[b], at[b + 1]
+        if x < y:
+            yield pa.RecordBatch.from_pydict({"bucket": [b], "block": [block], "a": [pack(a[x:y], np.uint64)], "s": [pack(s[x:y], np.uint64) if len(s) else b""], "n": [pack(n[x:y], np.uint8)]}, schema=_ASK)
+
 
+def _ask(blocks: DataFrame, buckets: int) -> DataFrame:
     def split(batches):
         for batch in batches:
-            for block, *parts in zip(*(c.to_pylist() for c in batch.columns)):
-                a, s, n = unpack(parts[0], np.uint64), unpack(parts[1], np.uint64), unpack(parts[2], np.uint8)
-                at = edges(a, buckets)
-                for b in range(buckets):
-                    x, y = at[b], at[b + 1]
-                    if x < y:
-                        yield pa.RecordBatch.from_pydict({"bucket": [b], "block": [block], "a": [pack(a[x:y], np.uint64)], "s": [pack(s[x:y], np.uint64) if len(s) else b""], "n": [pack(n[x:y], np.uint8)]}, schema=_ASK)
+            for block, a, s, n in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from _split(block, unpack(a, np.uint64), unpack(s, np.uint64), unpack(n, np.uint8), buckets)
 
-    return blocks.select("block", "a", "s", "n").mapInArrow(split, "bucket int, block long, a binary, s binary, n binary")
+    return blocks.select("block", "a", "s", "n").mapInArrow(split, _ASKED)
 
 
 def _answers(pdf: pd.DataFrame, codes: np.ndarray, sizes: list[int]) -> pd.DataFrame:
@@ -253,79 +279,65 @@ def judge_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     return _answers(pdf, (n > 1)[which].astype(np.uint8), [len(x) for x in keys])
 
 
-def _joined(answer: pa.Table) -> np.ndarray:
-    parts = answer.sort_by("bucket").column("codes").to_pylist()
-    return np.concatenate([unpack(x, np.uint8) for x in parts]) if parts else np.zeros(0, np.uint8)
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_PENDING = "block long, docs binary, sizes binary, texts binary, known binary, a binary, s binary, n binary, open binary, n_keys long"
-
-
-def decide_runs(key: tuple, block: pa.Table, answer: pa.Table) -> pa.Table:
-    """Documents without open runs are done; the others go on, with the windows of their open runs."""
-    row = SimpleNamespace(**block.slice(0, 1).to_pylist()[0])
-    ids, raw = _unpacked(row.docs, row.sizes, row.texts)
-    texts = Texts(raw)
-    codes = texts.codes(unpack(row.a, np.uint64), unpack(row.s, np.uint64), _joined(answer))
-    owner = np.searchsorted(texts.ends, texts.first, "right")
-    sure, unsure = (codes == REPEATED) | (codes == OPEN_REPEATED), codes >= OPEN
-    waiting = np.zeros(len(ids), bool)
-    waiting[owner[unsure]] = True
-    known = _spread(texts.first[sure], texts.last[sure])
-    rows = texts.results(ids, known, ~waiting)
-    if not waiting.any():
-        return _table(rows, {})
-    # The waiting texts alone, renumbered.
-    keep = np.flatnonzero(waiting).tolist()
-    shift = np.zeros(len(ids), np.int64)
-    shift[keep] = np.cumsum(texts.sizes[keep]) - texts.sizes[keep] - (texts.ends[keep] - texts.sizes[keep])
-    at = _spread(texts.first[unsure], texts.last[unsure])
-    hashes = _mixed(texts.hashed(at, at + WINDOW))
-    move = lambda w: w + shift[np.searchsorted(texts.ends, w, "right")]
-    known = move(known[waiting[np.searchsorted(texts.ends, known, "right")]]) if len(known) else known
-    keys, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
-    settled = _spread(texts.first[codes == OPEN_REPEATED], texts.last[codes == OPEN_REPEATED])
-    ask_back = ~np.isin(at, settled)
-    pending = {"block": key[0].as_py(), **_packed([ids[k] for k in keep], [raw[k] for k in keep]), "known": pack(np.diff(known, prepend=0), np.int64), "a": pack(keys, np.uint64), "s": pack(keys[:0], np.uint64), "n": pack(np.minimum(times, 2), np.uint8)}
-    pending |= {"open": pack(np.stack((move(at[ask_back]), which[ask_back])), np.int64), "n_keys": len(keys)}
-    return _table(rows, pending)
-
-
-_NAMES = [c.split()[0] for c in _PENDING.split(", ")]
-_FIELDS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *((c, pa.int64() if c in ("block", "n_keys") else pa.binary()) for c in _NAMES)])
-
-
-def _table(rows: dict, pending: dict) -> pa.Table:
-    """Finished documents, then a row of what is pending."""
-    n, more = len(rows["doc_id"]), int(bool(pending))
-    return pa.Table.from_pydict({f.name: [*rows.get(f.name, [None] * n), *[pending.get(f.name)] * more] for f in _FIELDS}, schema=_FIELDS)
-
-
-def decide_windows(key: tuple, block: pa.Table, answer: pa.Table) -> pa.Table:
-    row = SimpleNamespace(**block.slice(0, 1).to_pylist()[0])
-    ids, raw = _unpacked(row.docs, row.sizes, row.texts)
-    texts = Texts([b""])
-    texts.sizes = np.array([len(t) for t in raw], np.int64)
-    texts.ends, texts.raw = np.cumsum(texts.sizes), np.frombuffer(b"".join(raw), np.uint8)
-    at, which = unpack(row.open, np.int64).reshape(2, -1)
-    found = at[_joined(answer)[which] > 0]
-    windows = np.concatenate((np.cumsum(unpack(row.known, np.int64)), found))
-    return pa.Table.from_pydict(texts.results(ids, windows, np.ones(len(ids), bool)), schema=pa.schema(list(_FIELDS)[:5]))
+def _pieces(rows: pa.Table) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Of one block: its place, the codes of its runs and of its windows."""
+    place, codes = {}, {1: [], 2: []}
+    for row in rows.sort_by([("kind", "ascending"), ("bucket", "ascending")]).to_pylist():
+        if row["kind"]:
+            codes[row["kind"]].append(unpack(row["codes"], np.uint8))
+        else:
+            place = row
+    return place, *(np.concatenate(c) if c else np.zeros(0, np.uint8) for c in codes.values())
+
+
+def _open_windows(texts: Texts, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of open runs, their distinct digits in order, which digit each has, and how often each is here."""
+    at = _spread(texts.first[codes >= OPEN], texts.last[codes >= OPEN])
+    hashes = _mixed(texts.hashed(at, at + WINDOW)) if len(at) else np.zeros(0, np.uint64)
+    return at, *np.unique(hashes, return_inverse=True, return_counts=True)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every document."""
+    folder = f"{shared_dir(docs.sparkSession)}/suffixes-{uuid.uuid4().hex}"
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    blocks = cut(to_blocks(texts, BLOCK_CHARS, make_block, _BLOCK, _BLOCK_ARROW))
-    count = lambda df: bucket_count(df.agg(F.sum("n_keys")).first()[0] or 0)
+    blocks = cut(store_blocks(texts, folder))
+    buckets = bucket_count(blocks.agg(F.sum("n_keys")).first()[0] or 0)
     answer = "bucket int, block long, codes binary"
-    codes = _ask(blocks, count(blocks)).groupBy("bucket").applyInPandas(judge_runs, answer)
-    first = cut(blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(decide_runs, f"{_RESULT}, {_PENDING}"))
-    waiting = first.where("block IS NOT NULL").select(*_NAMES)
-    codes = _ask(waiting, count(waiting)).groupBy("bucket").applyInPandas(judge_windows, answer)
-    second = waiting.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(decide_windows, _RESULT)
-    return first.where("block IS NULL").select(*(c.split()[0] for c in _RESULT.split(", "))).unionByName(second)
+    runs = cut(_ask(blocks, buckets).groupBy("bucket").applyInPandas(judge_runs, answer))
+    none = F.lit(None)
+    places = blocks.select("block", F.lit(0).alias("kind"), none.cast("int").alias("bucket"), none.cast("binary").alias("codes"), "file", "at", "length")
+    coded = lambda df, kind: df.select("block", F.lit(kind).alias("kind"), "bucket", "codes", none.cast("string").alias("file"), none.cast("long").alias("at"), none.cast("long").alias("length"))
+    # Windows of open runs may be several to a run, so they go to more buckets.
+    finer = 4 * buckets
+
+    def ask_windows(rows: pa.Table) -> pa.Table:
+        place, codes, _ = _pieces(rows)
+        if not (codes >= OPEN).any():
+            return _ASK.empty_table()
+        t = Texts(Stored(folder)(place)[1])
+        _, keys, _, times = _open_windows(t, t.codes(*t.digits()[:2], codes))
+        return pa.Table.from_batches(_split(place["block"], keys, keys[:0], np.minimum(times, 2).astype(np.uint8), finer), schema=_ASK)
+
+    def finish(rows: pa.Table) -> pa.Table:
+        place, codes, found = _pieces(rows)
+        ids, raw = Stored(folder)(place)
+        t = Texts(raw)
+        codes = t.codes(*t.digits()[:2], codes)
+        sure = (codes == REPEATED) | (codes == OPEN_REPEATED)
+        windows = _spread(t.first[sure], t.last[sure])
+        if len(found):
+            at, _, which, _ = _open_windows(t, codes)
+            windows = np.unique(np.concatenate((windows, at[found[which] > 0])))
+        return pa.Table.from_pydict(t.results(ids, windows, np.ones(len(ids), bool)), schema=_RESULT_ARROW)
+
+    known = places.unionByName(coded(runs, 1))
+    windows = cut(known.groupBy("block").applyInArrow(ask_windows, _ASKED).groupBy("bucket").applyInPandas(judge_windows, answer))
+    return known.unionByName(coded(windows, 2)).groupBy("block").applyInArrow(finish, _RESULT)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
