@@ -40,7 +40,7 @@ SMOOTHING, SURE = 1.0, 3.0
 #: Words, word pairs, and the repeat features.
 TABLE = 2 * BUCKETS + 16
 _TOKENS = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")
-_CACHED = 300_000
+_CACHED = 150_000
 _known: dict[bytes, int] = {}
 
 

@@ -87,7 +87,7 @@ BANDS = 6
 #: Of 256 bits; similarity 0.8 differs in 39 on average (standard deviation 6).
 MOST_BITS = 44
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
-_CACHED = 300_000
+_CACHED = 150_000
 _hashes: dict[bytes, int] = {}
 
 
