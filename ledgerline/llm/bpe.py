@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import map_batches, sha256, table
 
 #: Longer pre-tokens, in bytes, are encoded but not remembered; most pre-tokens in a generation of those that are.
-CACHED_BYTES, CACHED = 64, 450_000
+CACHED_BYTES, CACHED = 64, 300_000
 
 
 class _Known(dict):

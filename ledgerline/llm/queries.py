@@ -8,7 +8,7 @@ from ledgerline.llm.lm_scoring import op3_pitman_yor
 from ledgerline.llm.quality import op7_quality
 from ledgerline.llm.secrets import op10_secrets
 from ledgerline.llm.simhash import op2_simhash
-from ledgerline.llm.suffixes import op5_suffix_dedup
+from ledgerline.llm.suffixes import OP5_SQL, op5_suffix_dedup
 from ledgerline.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
 }
-ORACLES = {"op8_warc": OP8_SQL, "op9_decontaminate": OP9_SQL}
+ORACLES = {"op5_suffix_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op9_decontaminate": OP9_SQL}
