@@ -38,9 +38,11 @@ _BLOCK = set(
 _OUT = set("nav footer aside form menu button dialog fieldset label".split())
 _IN = set("article main".split())
 _OUT_WORDS = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent copyright adbox adslot adsense adunit alert disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related recommendations replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar trending widget widgets".split()
 )
 _IN_WORDS = set("article articlebody body content entry main maincontent post story text".split())
+#: A name that begins so says something about its element, not what it is.
+_ABOUT = set("has with without no is js tag category type status format".split())
 # End of fixed values.
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -57,12 +59,15 @@ class Block:
 
 def _marking(tag: str, rest: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element's own marking says boilerplate, and content."""
-    words: set[str] = set()
+    bad, good = tag in _OUT or tag == "header" and not inside or "hidden" in rest.lower().split(), tag in _IN
     if rest and tag not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(rest):
-            words.update(w.lower() for w in _WORD.findall(m[2] or m[3] or m[4] or ""))
-    good = tag in _IN or bool(words & _IN_WORDS)
-    bad = tag in _OUT or tag == "header" and not inside or (bool(words & _OUT_WORDS) and not words & _IN_WORDS) or "hidden" in rest.lower().split()
+            for name in (m[2] or m[3] or m[4] or "").split():
+                words = [w.lower() for w in _WORD.findall(name)]
+                if words and words[0] not in _ABOUT:
+                    out = any(w in _OUT_WORDS or w == "header" and not inside for w in words)
+                    bad |= out
+                    good |= not out and any(w in _IN_WORDS for w in words)
     return bad, good and not bad
 
 

@@ -85,3 +85,9 @@ def test_pipeline_on_the_smallest_tables(spark):
         docs, before = spark.createDataFrame(after.collect(), docs.schema), n
     out = C.run(spark, folder)
     assert out.count() == before and {"doc_id", "n_tokens", "token_ids"} <= set(out.columns)
+
+
+def test_marking_of_elements():
+    kept = lambda attributes, tag="div": [b.inside - b.out for b in html_text.parse(f"<article><p>x</p></article><{tag} {attributes}><p>y</p></{tag}>")][1]
+    assert [kept(a) for a in ('class="post-body"', 'class="article-comments"', 'id=sidebar', 'class="main has-sidebar"', 'role="navigation"', 'class="post tag-widget"', 'class="siteHeader"', "class='x'")] == [1, -1, -1, 1, -1, 1, -1, 0]
+    assert [b.out for b in html_text.parse("<article><header><h1>t</h1></header><div class=share>s</div></article>")] == [False, True]
