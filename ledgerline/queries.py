@@ -117,8 +117,8 @@ SELECT count(*) FILTER (type = 'A') AS adds, count(*) FILTER (type IN ('E', 'C')
   count(*) FILTER (outcome = 'unknown') AS unknown_ref, count(*) FILTER (outcome = 'overfill') AS overfill, count(*) FILTER (outcome = 'add') - count(*) FILTER (outcome IN ('removed', 'overfill')) AS live_orders,
   (SELECT max(live) FROM moves)::BIGINT AS peak_live_orders FROM fx""")
 def book_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx = staged_effects(spark, sf_dir)
-    return book.counters(fx).crossJoin(peak_live_orders(spark, sf_dir).select("peak_live_orders"))  # one row each
+    peak = peak_live_orders(spark, sf_dir).first()["peak_live_orders"]
+    return book.counters(staged_effects(spark, sf_dir)).withColumn("peak_live_orders", F.lit(peak).cast("long"))
 
 
 @query(f"WITH {EFFECTS_SQL} SELECT seq, (sum(CASE outcome WHEN 'add' THEN 1 ELSE -1 END) OVER (ORDER BY seq))::BIGINT AS live FROM fx WHERE outcome IN ('add', 'removed', 'overfill')")
