@@ -24,7 +24,6 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +77,9 @@ class Model:
         return float(self.weights[features(text)].sum(dtype=np.float64))
 
     def key(self, text: str | None, log_weight: float) -> float:
-        """What the top-k draw ranks by."""
+        """What the top-k draw ranks by; without a threshold all documents are alike."""
+        if not math.isfinite(self.threshold):
+            return 0.0
         u = (xxhash.xxh64_intdigest(utf8(text), 7) + 0.5) / 2.0**64
         return (log_weight - self.threshold) / TEMPERATURE - math.log(-math.log(min(u, 1 - 2.0**-53)))
 
@@ -101,16 +102,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = one.withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(SAMPLE).collect()
     chosen = {r["doc_id"]: (r["good"], r["h"] % 5 == 0) for r in sample}
     sent = spark.sparkContext.broadcast(chosen)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    ids = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id long"))  # SAMPLE rows at most
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, 2, TABLE), np.int32)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for k, i in enumerate(ids):
-                if i in sent.value:
-                    good, later = sent.value[i]
-                    held[int(later), int(good), np.unique(features(batch.column(1)[k].as_py()))] += 1
+                good, later = sent.value[i]
+                held[int(later), int(good), np.unique(features(batch.column(1)[k].as_py()))] += 1
         for fold in (0, 1):
             if len(at := np.flatnonzero(held[fold].sum(axis=0))):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), fold, np.int32)), pa.array(at.astype(np.int32)), pa.array(held[fold, 1, at].astype(np.int64)), pa.array(held[fold].sum(axis=0)[at].astype(np.int64))], names=["fold", "bucket", "good", "n"])
@@ -123,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     trial = spark.sparkContext.broadcast(_ratios(counts, "good_0", "n_0", share))
 
     def calibrate(doc_id: list, text: list) -> dict:
-        rows = [(float(trial.value[features(t)].sum(dtype=np.float64)), sent.value[i][0]) for i, t in zip(doc_id, text) if i in sent.value and sent.value[i][1]]
+        rows = [(float(trial.value[features(t)].sum(dtype=np.float64)), sent.value[i][0]) for i, t in zip(doc_id, text) if sent.value[i][1]]
         return {"w": [r[0] for r in rows], "good": [r[1] for r in rows]}
 
     held_out = sorted((r["w"], r["good"]) for r in map_batches(texts, calibrate, "w double, good boolean").collect())
@@ -139,14 +140,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, log_weight, key`` for every document."""
+    """``doc_id, log_weight, key, bits`` for every document; ``bits`` sorts as the key does."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(doc_id: list, text: list) -> dict:
         weights = [sent.value.log_weight(t) for t in text]
-        return {"doc_id": doc_id, "log_weight": weights, "key": list(map(sent.value.key, text, weights))}
+        keys = list(map(sent.value.key, text, weights))
+        return {"doc_id": doc_id, "log_weight": weights, "key": keys, "bits": list(map(ordered_bits, keys))}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), each, "doc_id long, log_weight double, key double")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), each, "doc_id long, log_weight double, key double, bits long")
 
 
 def ordered_bits(key: float) -> int:
@@ -160,7 +162,7 @@ def kth_largest(scored: DataFrame, k: int) -> int | None:
     left = k
     if k <= 0:
         return None
-    rows, prefix = scored.select((F.col("bits")).alias("b")), 0
+    rows, prefix = scored.select(F.col("bits").alias("b")), 0
     for shift in (48, 32, 16, 0):
         digit = F.expr(f"shiftright(b, {shift})") if shift == 48 else F.expr(f"shiftright(b, {shift}) & 65535L")
         bins = rows.groupBy(digit.alias("d")).count().collect()
@@ -176,15 +178,9 @@ def kth_largest(scored: DataFrame, k: int) -> int | None:
 
 
 def _decide(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame, int | None]:
+    """The model, all scores, and the least ``bits`` that is drawn."""
     model = fit(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def each(doc_id: list, text: list) -> dict:
-        weights = [sent.value.log_weight(t) for t in text]
-        keys = list(map(sent.value.key, text, weights)) if math.isfinite(sent.value.threshold) else list(repeat(0.0, len(text)))
-        return {"doc_id": doc_id, "log_weight": weights, "key": keys, "bits": list(map(ordered_bits, keys))}
-
-    scored = cut(map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), each, "doc_id long, log_weight double, key double, bits long"))
+    scored = cut(score(docs, model))
     k = scored.where(F.col("log_weight") >= model.threshold).count()
     return model, scored, kth_largest(scored, k)
 
