@@ -118,14 +118,15 @@ class Texts:
         stops = np.append(starts[1:], len(least)) - 1
         real = valid[starts]
         self.first, self.last = starts[real], stops[real]
-        self.anchor = least[self.first]
+        anchor = least[self.first]
+        self.anchor = _mixed(anchor)  # least hashes are small; buckets want even ones
         self.string = _mixed(self.hashed(self.first, self.last + WINDOW) + (self.last - self.first).astype(np.uint64) * np.uint64(_BASE))
         # Anchors: grams that are the least of some window. Runs with two of them hold a string that repeats within.
         around = np.concatenate((np.zeros(_NEAR - 1, np.uint64), least, np.zeros(_NEAR - 1, np.uint64)))
         places = np.flatnonzero(_sliding(around, _NEAR, np.maximum) == grams)
         kinds, which = np.unique(grams[places], return_inverse=True)
         order = np.sort(which.astype(np.int64) * (n + 1) + places)
-        kind = np.searchsorted(kinds, self.anchor).astype(np.int64) * (n + 1)
+        kind = np.searchsorted(kinds, anchor).astype(np.int64) * (n + 1)
         self.tied = np.searchsorted(order, kind + self.last + _NEAR - 1, "right") - np.searchsorted(order, kind + self.first) > 1
 
     def hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
