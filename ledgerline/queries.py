@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import book, latency, publish, traffic
 from ledgerline.operators.fold import locate_digests
-from ledgerline.plans.adapter import MESSAGES_SQL, PACKETS_SQL, directory, line_packets, messages, micros
+from ledgerline.plans.adapter import MESSAGES_SQL, PACKETS_SQL, directory, line_packets, messages
 from ledgerline.plans.effects import EFFECTS_SQL, deltas, effects, staged_effects
 from ledgerline.plans.stage import staged
 

@@ -1,6 +1,5 @@
 """Publishing, recovery and reports on small tables."""
 
-from pyspark.sql import functions as F
 
 from ledgerline.operators.publish import majority, subscriber_summary, suppress
 from ledgerline.operators.recovery import plan_recovery, serve, snapshot_orders
