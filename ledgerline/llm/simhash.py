@@ -13,15 +13,18 @@ ids or texts share a component; extra columns are dropped; an empty table gives
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, map_batches, table, utf8
+from ledgerline.llm.common import ROWS, cut, map_batches, table, utf8
 from ledgerline.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -77,15 +80,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------------------
-# Near copies at a similarity of 0.8 on five-word shingles, as a filtering stage needs them. One 64-bit
-# fingerprint at 2 bits finds almost none of those, so the same ball hashing runs on BANDS independent
-# 32-bit fingerprints of word pairs, and the pairs that meet are verified on a 256-bit fingerprint of
-# five-word shingles.
-
-#: At an edit rate of 2.3 % (similarity 0.8) a pair meets in one band with probability 0.39, in any with 0.95.
-BANDS = 6
-#: Of 256 bits; similarity 0.8 differs in 39 on average (standard deviation 6).
-MOST_BITS = 44
+# Near copies as a filtering stage needs them: documents linked by pairs whose sets of five-word shingles
+# have a Jaccard similarity of 0.8 or more. Candidates come from prefixes: in any one order of all shingles,
+# two such sets of sizes a and b have a common shingle among the first a - ceil(0.8 a) + 1 and the first
+# b - ceil(0.8 b) + 1. The order is rare first, so what many documents say is seldom in a prefix. Every link
+# is verified on the sets. Shingles are told apart by 64-bit hashes.
+
+#: Similarity as a fraction.
+SIMILAR = 4, 5
+#: Shingles are counted in so many slots for the order, which decides the cost and not the result.
+SLOTS, PIECES = 1 << 20, 64
+#: In buckets up to this size all pairs are judged at once, in larger ones round by round.
+AT_ONCE = 12
+#: Bits of the filter that spares documents without candidates.
+BITS = 1 << 26
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _CACHED = 150_000
 _hashes: dict[bytes, int] = {}
@@ -97,16 +105,6 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _votes(grams: np.ndarray, longs: int) -> np.ndarray:
-    """A fingerprint of ``longs`` 64-bit words by majority over the n-gram hashes."""
-    out = np.zeros(longs, np.uint64)
-    for k in range(longs):
-        raw = _mix(grams, k).view(np.uint8).reshape(len(grams), 8)
-        counts = np.stack([np.bincount(raw[:, b], minlength=256) for b in range(8)]) @ _BITS
-        out[k] = int.from_bytes(np.packbits((2 * counts > len(grams)).reshape(64), bitorder="little").tobytes(), "little")
-    return out
-
-
 def _grams(words: np.ndarray, n: int) -> np.ndarray:
     n = max(1, min(n, len(words)))
     out = words[: len(words) - n + 1].copy()
@@ -115,47 +113,181 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def sketch(text: str | None) -> np.ndarray:
-    """3 longs (six 32-bit fingerprints of word pairs), then 4 longs (five-word shingles); blank: zeros."""
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct five-word shingles, ascending; all words of a shorter text are one, a blank text has none."""
     found = utf8(text).lower().split()
     if not found:
-        return np.zeros(BANDS // 2 + 4, np.uint64)
+        return np.zeros(0, np.uint64)
     if len(_hashes) > _CACHED:
         _hashes.clear()
     for w in set(found).difference(_hashes):
         _hashes[w] = xxhash.xxh64_intdigest(w)
     words = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
-    return np.concatenate((_votes(_grams(words, 2), BANDS // 2), _votes(_grams(words, 5), 4)))
+    return np.unique(_mix(_grams(words, 5), 1))
 
 
-def near_copy_classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, component_id`` for documents linked at a similarity of about 0.8 or more."""
-    marks = [*(f"p{k}" for k in range(BANDS // 2)), *(f"f{k}" for k in range(4))]
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two ascending sets reach the similarity; empty sets are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
 
-    def each(doc_id: list, text: list) -> dict:
-        rows = np.array([sketch(t) for t in text], np.uint64).view(np.int64)
-        return {"doc_id": doc_id} | {name: rows[:, k] for k, name in enumerate(marks)}
-
-    schema = "doc_id long, " + ", ".join(f"{m} long" for m in marks)
-    sketched = map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), each, schema)
-    marked = cut(sketched.withColumn("id", F.xxhash64(*marks)))
-    classes = cut(marked.groupBy("id").agg(F.min("doc_id").alias("least"), *(F.first(m).alias(m) for m in marks)))
-    bands = F.array(*(F.expr(f"({k}L << 32) | (shiftrightunsigned(p{k // 2}, {32 * (k % 2)}) & 4294967295L)") for k in range(BANDS)))
-    ball = classes.select("id", F.explode(bands).alias("band")).select(
-        "id", F.explode(F.expr("transform(sequence(-1, 31), i -> CASE WHEN i < 0 THEN band ELSE band ^ shiftleft(1L, i) END)")).alias("word")
-    )
-    at_word = Window.partitionBy("word").orderBy("id")
-    met = ball.select("id", F.lag("id").over(at_word).alias("before"), F.first("id").over(at_word).alias("least")).where("before IS NOT NULL")
-    pairs = met.select("id", F.explode(F.array("least", "before")).alias("other")).distinct()
-    left = classes.select("id", *(F.col(f"f{k}").alias(f"a{k}") for k in range(4)))
-    right = classes.select(F.col("id").alias("other"), *(F.col(f"f{k}").alias(f"b{k}") for k in range(4)))
-    apart = " + ".join(f"bit_count(a{k} ^ b{k})" for k in range(4))
-    linked = cut(pairs.join(left, "id").join(right, "other").where(f"{apart} <= {MOST_BITS}").select(F.col("id").alias("u"), F.col("other").alias("v")))
-    roots = connected_components(linked)
+
+def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles, rare first, of which similar sets have one in common."""
+    n = len(found) - -(-SIMILAR[0] * len(found) // SIMILAR[1]) + 1 if len(found) else 0
+    return found[np.lexsort((found, counts[found % np.uint64(SLOTS)]))[:n]]
+
+
+def _set_id(found: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(found.tobytes())
+
+
+def _signed(values: list) -> np.ndarray:
+    return np.array(values, np.uint64).view(np.int64)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield [c.to_pylist() for c in batch.slice(at, ROWS).columns]
+
+
+def _set_ids(docs: DataFrame) -> DataFrame:
+    """``doc_id, id`` (equal sets, equal id) of every document, and rows with the ``counts`` of a ``piece`` of the slots."""
+    schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
+
+    def run(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for doc_id, text in _slices(batches):
+            sets = [shingles(t) for t in text]
+            np.add.at(counts, (np.concatenate(sets) % np.uint64(SLOTS)).astype(np.int64), 1)
+            none = [None] * len(sets)
+            yield pa.RecordBatch.from_pydict({"doc_id": doc_id, "id": _signed([_set_id(x) for x in sets]), "piece": none, "counts": none}, schema=schema)
+        for k, piece in enumerate(np.split(counts, PIECES)):
+            if piece.any():
+                yield pa.RecordBatch.from_pydict({"doc_id": [None], "id": [None], "piece": [k], "counts": [piece.tobytes()]}, schema=schema)
+
+    return docs.mapInArrow(run, "doc_id long, id long, piece int, counts binary")
+
+
+def _slot_counts(marked: DataFrame) -> np.ndarray:
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"piece": pdf.piece.iloc[0], "counts": sum(np.frombuffer(x, np.int64) for x in pdf["counts"]).tobytes()}])
+
+    out = np.zeros((PIECES, SLOTS // PIECES), np.int64)
+    for k, piece in marked.where("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInPandas(add_up, "piece int, counts binary").collect():
+        out[k] = np.frombuffer(piece, np.int64)
+    return out.reshape(-1)
+
+
+def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``word, id, size``: the prefix of every set, and its size."""
+    held = docs.sparkSession.sparkContext.broadcast(counts)
+    schema = pa.schema([("word", pa.int64()), ("id", pa.int64()), ("size", pa.int32())])
+
+    def run(batches):
+        done = set()
+        for _, text in _slices(batches):
+            sets = {i: x for x in map(shingles, text) if len(x) and (i := _set_id(x)) not in done}
+            if not sets:
+                continue
+            done.update(sets)
+            parts = [prefix(x, held.value) for x in sets.values()]
+            n = [len(x) for x in parts]
+            yield pa.RecordBatch.from_pydict({"word": np.concatenate(parts).view(np.int64), "id": np.repeat(_signed(list(sets)), n), "size": np.repeat([len(x) for x in sets.values()], n).astype(np.int32)}, schema=schema)
+
+    return docs.mapInArrow(run, "word long, id long, size int")
+
+
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, held``: the sets of these ids and of a few others."""
+    bit = F.col("id").bitwiseAND(BITS - 1)
+    rows = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND((1 << 15) - 1))).collect()
+    bits = docs.sparkSession.sparkContext.broadcast({k: bytes(b) for k, b in rows})
+    schema = pa.schema([("id", pa.int64()), ("held", pa.binary())])
+
+    def run(batches):
+        whole = np.zeros(BITS // 8, np.uint8)
+        for k, b in bits.value.items():
+            whole[k << 12 : (k + 1) << 12] = np.frombuffer(b, np.uint8)
+        for _, text in _slices(batches):
+            sets = {_set_id(x): x for x in map(shingles, text)}
+            asked = {i: x for i, x in sets.items() if whole[(i & BITS - 1) >> 3] >> (i & 7) & 1}
+            yield pa.RecordBatch.from_pydict({"id": _signed(list(asked)), "held": [x.tobytes() for x in asked.values()]}, schema=schema)
+
+    return docs.mapInArrow(run, "id long, held binary").groupBy("id").agg(F.first("held").alias("held"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``u, v`` that reach the similarity."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches):
+        for u, v, a, b in _slices(batches):
+            yes = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_pydict({"u": [x for x, y in zip(u, yes) if y], "v": [x for x, y in zip(v, yes) if y]}, schema=schema)
+
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("held").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("held").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs of ``u, v`` whose sizes ``m, n`` allow the similarity, verified."""
+    fit = pairs.where(f"{SIMILAR[1]} * least(m, n) >= {SIMILAR[0]} * greatest(m, n)")
+    return cut(_verified(fit.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets))
+
+
+def _near_links(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``node, root`` of the components of all similar pairs.
+
+    A bucket holds the sets with one shingle in their prefixes. In a small one all pairs are judged. In a large
+    one the least is judged with all others; then, round by round, members outside the bucket's largest component
+    are judged with all members of other components and leave, until one component is left in it. So
+    each pair of a bucket is judged or already in one component, and a group of copies costs a row a member.
+    """
+    at_word = Window.partitionBy("word")
+    met = _prefixes(docs, counts).repartition("word").distinct().select("word", "id", "size", F.count("*").over(at_word).alias("n"), F.bit_xor(F.xxhash64("id")).over(at_word).alias("who"), F.min(F.struct("id", "size")).over(at_word).alias("least"))
+    met = cut(met.where("n > 1"))
+    # Buckets of the same members are one.
+    alike = met.where("id = least.id").groupBy("n", "who").agg(F.min("word").alias("word")).select("word")
+    met = cut(met.join(alike, "word"))
+    sets = cut(_sets(docs, met.select("id")))
+    small, large = met.where(f"n <= {AT_ONCE}"), cut(met.where(f"n > {AT_ONCE}").select("word", "id", "size", "least"))
+    one = small.select("word", F.col("id").alias("u"), F.col("size").alias("m"))
+    two = small.select("word", F.col("id").alias("v"), F.col("size").alias("n"))
+    star = large.where("id <> least.id").select(F.col("least.id").alias("u"), F.col("least.size").alias("m"), F.col("id").alias("v"), F.col("size").alias("n"))
+    linked = _judged(one.join(two, "word").where("u < v").select("u", "m", "v", "n").unionByName(star), sets)
+    roots = cut(connected_components(linked))
+    left, most = large.where("id <> least.id").select("word", "id", "size"), 4
+    while True:
+        named = left.join(roots, left.id == roots.node, "left").select("word", "id", "size", F.coalesce("root", "id").alias("root"))
+        by_root = cut(named.groupBy("word", "root").agg(F.count("*").alias("n")))
+        words = by_root.groupBy("word").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
+        left = cut(named.join(words.select("word", F.col("top.root").alias("top")), "word"))
+        if left.isEmpty():
+            return roots
+        rank = F.row_number().over(at_word.orderBy("id"))
+        now = cut(left.where("root <> top").withColumn("rank", rank).where(f"rank <= {most}").select("word", "id", "size", "root"))
+        others = left.select("word", F.col("id").alias("v"), F.col("size").alias("n"), F.col("root").alias("other"))
+        found = _judged(now.select("word", F.col("id").alias("u"), F.col("size").alias("m"), "root").join(others, "word").where("root <> other").select("u", "m", "v", "n"), sets)
+        linked = linked.unionByName(found)
+        if not found.isEmpty():
+            roots = cut(connected_components(linked))
+        left = cut(left.select("word", "id", "size").join(now.select("word", "id"), ["word", "id"], "left_anti"))
+        most *= 4
+
+
+def near_copy_classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` for documents linked by a similarity of 0.8 or more."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    seen = cut(_set_ids(texts))
+    marked = seen.where("piece IS NULL").select("doc_id", "id")
+    classes = cut(marked.groupBy("id").agg(F.min("doc_id").alias("least")))
+    roots = _near_links(texts, _slot_counts(seen))
     rooted = cut(classes.join(roots, classes.id == roots.node).select("id", "least", "root"))
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     by_id = cut(rooted.join(named, "root").select("id", "component_id").unionByName(classes.join(rooted, "id", "left_anti").select("id", F.col("least").alias("component_id"))))
-    return marked.select("doc_id", "id").join(by_id, "id", "left").select("doc_id", "component_id")
+    return marked.join(by_id, "id", "left").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

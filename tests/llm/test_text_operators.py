@@ -141,6 +141,53 @@ def test_near_copies_without_ids_and_empty(docs, no_docs):
     assert simhash.drop_near_copies(no_docs).count() == 0
 
 
+def brute_near_copies(table, ratio=0.8):
+    """Ids that go: all pairs by Jaccard, components, the least id of each stays."""
+    sets = []
+    for _, text in table:
+        w = text.lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    root = list(range(len(table)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(table)):
+        for y in range(x):
+            if len(sets[x] & sets[y]) >= ratio * len(sets[x] | sets[y]) - 1e-9:
+                root[find(x)] = find(y)
+    least = {}
+    for k, (i, _) in enumerate(table):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return {i for k, (i, _) in enumerate(table) if least[find(k)] != i}
+
+
+def edited(r, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[r.randrange(len(words))] = f"z{r.randrange(10**6)}"
+    return words
+
+
+@pytest.mark.parametrize("at_once", [1, 12])
+def test_near_copies_among_forms_by_brute_force(spark, monkeypatch, at_once):
+    """Frequent word pairs, a large group of near copies, pairs about the threshold, documents of common lines."""
+    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+    r = random.Random(11)
+    forms = [" ".join(f"item : {r.choice('abcdefgh')}{r.randrange(40)}" for _ in range(60)).split() for _ in range(120)]
+    lines = [prose(k, 12).split() for k in range(500, 508)]
+    texts = forms + [edited(r, forms[k], r.randrange(1, 5)) for k in range(60)] + [edited(r, forms[119], r.randrange(6)) for _ in range(40)]
+    texts += [sum(r.sample(lines, 6), []) for _ in range(60)]
+    r.shuffle(texts)
+    table = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    gone = brute_near_copies(table)
+    assert len(gone) > 60
+    kept = simhash.drop_near_copies(spark.createDataFrame([(i, t, *EXTRA) for i, t in table], SCHEMA))
+    assert {r[0] for r in kept.select("doc_id").collect()} == {i for i, _ in table} - gone
+
+
 # --- 3 ---------------------------------------------------------------------------------------------
 
 
