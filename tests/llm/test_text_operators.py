@@ -188,6 +188,18 @@ def test_near_copies_among_forms_by_brute_force(spark, monkeypatch, at_once):
     assert {r[0] for r in kept.select("doc_id").collect()} == {i for i, _ in table} - gone
 
 
+def test_near_copies_are_verified_on_distinct_shingles(spark):
+    """Unlike texts with one repeated word stay; 80 of 100 shingles are enough and 79 of 101 are not."""
+    dashes = [(k, prose(600 + k, 150) + " -" * 200) for k in range(3)]
+    shared = prose(610, 94)
+    pair = [(10, f"{shared} {prose(611, 0)}"), (11, f"{shared} {prose(612, 10)}"), (12, f"{shared} {prose(613, 23)}"), (13, shared.upper())]
+    table = dashes + pair
+    gone = brute_near_copies(table)
+    assert gone == {11, 13} and simhash.similar(np.arange(80, dtype=np.uint64), np.arange(100, dtype=np.uint64)) and not simhash.similar(np.arange(79, dtype=np.uint64), np.arange(101, dtype=np.uint64))
+    kept = simhash.drop_near_copies(spark.createDataFrame([(i, t, *EXTRA) for i, t in table], SCHEMA))
+    assert {r[0] for r in kept.select("doc_id").collect()} == {i for i, _ in table} - gone
+
+
 # --- 3 ---------------------------------------------------------------------------------------------
 
 
