@@ -7,7 +7,7 @@ import pytest
 
 from ledgerline.functions import show, u64
 from ledgerline.operators import book, latency
-from ledgerline.operators.fold import Book, replay
+from ledgerline.operators.fold import Book, locate_digests, replay
 from ledgerline.operators.prefix import numbered, running
 from ledgerline.operators.verify import compare, read_checkpoints, write_checkpoints
 from ledgerline.plans.adapter import messages
@@ -120,6 +120,16 @@ def test_checkpoint_files(spark, tmp_path):
     assert (off.passed, off.first_difference) == (False, 8)
 
 
+def test_digests_at_every_checkpoint(spark):
+    msgs, fx = messages(spark, SF), staged_effects(spark, SF)
+    sizes = {r.locate: r["count"] for r in fx.where("locate IS NOT NULL").groupBy("locate").count().collect()}
+    got = locate_digests(msgs, fx, 10).collect()
+    want = {(k, n) for k, size in sizes.items() for n in [*range(10, size, 10), size]}
+    assert len(got) == len(want) > len(sizes) and {(r.locate, r.messages) for r in got} == want
+    last = {r.locate: (r.messages, r.digest, r.order_hash) for r in locate_digests(msgs, fx, 0).collect()}
+    assert {r.locate: (r.messages, r.digest, r.order_hash) for r in got if r.messages == sizes[r.locate]} == last
+
+
 def test_formats(spark):
     F = book.F
     row = spark.range(1).select(show.price(F.lit(1234501)), show.clock(F.lit(34_200_123_456_789), True), show.parse_clock(F.lit("09:30:00")), show.parse_clock(F.lit("9h")), show.duration(F.lit(1500)), show.symbol(F.lit("AB \0 "))).first()
