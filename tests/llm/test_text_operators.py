@@ -248,6 +248,19 @@ def test_lm_seating_and_normalised_predictions():
         assert abs(p[seen > 0].sum() + model.back[k] * model.unknown - 1) < 1e-9
 
 
+def test_lm_resamples_frequent_words_too():
+    """One dish of 20,000 customers, started with a table each: its tables come down to their mean under the model."""
+    n, d = 20_000, 0.5
+    seating = lm_scoring.Seating(np.array([n, 1]), np.array([0, 1]), np.array([0, 0]), 2, d, 0.5, 1, 4)
+    seating._set(np.repeat([0, 1], [n, 1]), np.ones(n + 1, np.int64))
+    for _ in range(60):
+        seating.step()
+    high = [seating.step() or seating.tables()[0] for _ in range(100)]
+    seating.start()
+    low = [seating.step() or seating.tables()[0] for _ in range(160)][60:]
+    assert max(high) < n / 4 and abs(np.mean(high) / np.mean(low) - 1) < 0.3
+
+
 def test_lm_beats_the_base_on_held_out_text(spark):
     r = random.Random(8)
     vocabulary = [prose(k, 1) for k in range(900)]
