@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm.blocks import pack, unpack
 from ledgerline.llm.common import ROWS, cut, map_batches, table, utf8
 from ledgerline.llm.components import connected_components
 
@@ -31,16 +32,21 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is 1 if over half of the hashes have it."""
+    n = len(hashes)
+    rows = hashes.view(np.uint8).reshape(n, 8)
+    counts = np.stack([np.bincount(rows[:, k], minlength=256) for k in range(8)]) @ _BITS
+    return int.from_bytes(np.packbits((2 * counts > n).reshape(64), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str | None) -> int:
-    """Bit b is 1 if over half of the shingles' hashes have it."""
+    """The majority of the hashes of all shingles, repeats included."""
     words = utf8(text).lower().split()
     if not words:
         return 0
     grams = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) >= SHINGLE else [b" ".join(words)]
-    n = max(1, len(words) - SHINGLE + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n).view(np.uint8).reshape(n, 8)
-    counts = np.stack([np.bincount(hashes[:, k], minlength=256) for k in range(8)]) @ _BITS
-    return int.from_bytes(np.packbits((2 * counts > n).reshape(64), bitorder="little").tobytes(), "little")
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, max(1, len(words) - SHINGLE + 1)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -81,7 +87,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------------------------------
 # Near copies as a filtering stage needs them: documents linked by pairs whose sets of five-word shingles
-# have a Jaccard similarity of 0.8 or more. Candidates come from prefixes: in any one order of all shingles,
+# have a Jaccard similarity of 0.8 or more. The first candidates come from ball hashing: fingerprints of the
+# distinct shingles at most 2 bits apart. At a similarity of 0.8 some ten of 64 bits differ, and balls of half
+# that have millions of words, so the other candidates come from prefixes: in any one order of all shingles,
 # two such sets of sizes a and b have a common shingle among the first a - ceil(0.8 a) + 1 and the first
 # b - ceil(0.8 b) + 1. The order is rare first, so what many documents say is seldom in a prefix. Every link
 # is verified on the sets. Shingles are told apart by 64-bit hashes.
@@ -89,8 +97,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Similarity as a fraction.
 SIMILAR = 4, 5
 #: Shingles are counted in so many slots for the order, which decides the cost and not the result.
-SLOTS, PIECES = 1 << 20, 64
-#: In buckets up to this size all pairs are judged at once, in larger ones round by round.
+SLOTS, PIECES = 1 << 22, 64
+#: So many members of a bucket are judged with all others in the first round, four times as many in each later one.
 AT_ONCE = 12
 #: Bits of the filter that spares documents without candidates.
 BITS = 1 << 26
@@ -132,10 +140,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
 
 
-def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def prefix(found: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The shingles, rare first, of which similar sets have one in common."""
     n = len(found) - -(-SIMILAR[0] * len(found) // SIMILAR[1]) + 1 if len(found) else 0
-    return found[np.lexsort((found, counts[found % np.uint64(SLOTS)]))[:n]]
+    return found[np.lexsort((found, ranks[found % np.uint64(SLOTS)]))[:n]]
 
 
 def _set_id(found: np.ndarray) -> int:
@@ -153,36 +161,39 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
 
 
 def _set_ids(docs: DataFrame) -> DataFrame:
-    """``doc_id, id`` (equal sets, equal id) of every document, and rows with the ``counts`` of a ``piece`` of the slots."""
-    schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
+    """``doc_id, id, size, fp`` (equal sets, equal id) of every document, and rows with the ``counts`` of a ``piece`` of the slots."""
+    schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("fp", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(SLOTS, np.int32)
         for doc_id, text in _slices(batches):
             sets = [shingles(t) for t in text]
             np.add.at(counts, (np.concatenate(sets) % np.uint64(SLOTS)).astype(np.int64), 1)
             none = [None] * len(sets)
-            yield pa.RecordBatch.from_pydict({"doc_id": doc_id, "id": _signed([_set_id(x) for x in sets]), "piece": none, "counts": none}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"doc_id": doc_id, "id": _signed([_set_id(x) for x in sets]), "size": [len(x) for x in sets], "fp": _signed([majority(x) if len(x) else 0 for x in sets]), "piece": none, "counts": none}, schema=schema)
         for k, piece in enumerate(np.split(counts, PIECES)):
             if piece.any():
-                yield pa.RecordBatch.from_pydict({"doc_id": [None], "id": [None], "piece": [k], "counts": [piece.tobytes()]}, schema=schema)
+                yield pa.RecordBatch.from_pydict({"doc_id": [None], "id": [None], "size": [None], "fp": [None], "piece": [k], "counts": [pack(piece, np.int32)]}, schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, id long, piece int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, id long, size int, fp long, piece int, counts binary")
 
 
-def _slot_counts(marked: DataFrame) -> np.ndarray:
+def _slot_ranks(marked: DataFrame) -> np.ndarray:
+    """How often the shingles of each slot occur, on a scale of eighths of a doubling."""
+
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"piece": pdf.piece.iloc[0], "counts": sum(np.frombuffer(x, np.int64) for x in pdf["counts"]).tobytes()}])
+        total = sum(unpack(x, np.int32).astype(np.int64) for x in pdf["counts"])
+        return pd.DataFrame([{"piece": pdf.piece.iloc[0], "ranks": np.minimum(255, 8 * np.log2(1 + total)).astype(np.uint8).tobytes()}])
 
-    out = np.zeros((PIECES, SLOTS // PIECES), np.int64)
-    for k, piece in marked.where("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInPandas(add_up, "piece int, counts binary").collect():
-        out[k] = np.frombuffer(piece, np.int64)
+    out = np.zeros((PIECES, SLOTS // PIECES), np.uint8)
+    for k, piece in marked.where("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInPandas(add_up, "piece int, ranks binary").collect():
+        out[k] = np.frombuffer(piece, np.uint8)
     return out.reshape(-1)
 
 
-def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     """``word, id, size``: the prefix of every set, and its size."""
-    held = docs.sparkSession.sparkContext.broadcast(counts)
+    held = docs.sparkSession.sparkContext.broadcast(ranks)
     schema = pa.schema([("word", pa.int64()), ("id", pa.int64()), ("size", pa.int32())])
 
     def run(batches):
@@ -231,49 +242,72 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+#: Whether the sizes m and n allow the similarity.
+_FIT = f"{SIMILAR[1]} * least(m, n) >= {SIMILAR[0]} * greatest(m, n)"
+#: What a set of a given size has beyond its prefix, and how many common shingles sets of sizes m and n need.
+_REST = f"ceil({SIMILAR[0]} * %s / {SIMILAR[1]}) - 1"
+_NEED = f"ceil({SIMILAR[0]} * (m + n) / {sum(SIMILAR)})"
+
+
 def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs of ``u, v`` whose sizes ``m, n`` allow the similarity, verified."""
-    fit = pairs.where(f"{SIMILAR[1]} * least(m, n) >= {SIMILAR[0]} * greatest(m, n)")
+    fit = pairs.where(_FIT)
     return cut(_verified(fit.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets))
 
 
-def _near_links(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``node, root`` of the components of all similar pairs.
+def _balls(classes: DataFrame) -> DataFrame:
+    """``u, m, v, n``: of sets of one fingerprint all with the least, and the least of fingerprints that ball hashing links."""
+    heads = cut(classes.groupBy("fp").agg(F.min(F.struct("id", "size")).alias("head")))
+    one = classes.join(heads, "fp").where("id <> head.id").select(F.col("head.id").alias("u"), F.col("head.size").alias("m"), F.col("id").alias("v"), F.col("size").alias("n"))
+    side = lambda c, size: heads.select(F.col("fp").alias(f"{c}_fp"), F.col("head.id").alias(c), F.col("head.size").alias(size))
+    near = links(heads.select("fp")).select(F.col("u").alias("u_fp"), F.col("v").alias("v_fp"))
+    return one.unionByName(near.join(side("u", "m"), "u_fp").join(side("v", "n"), "v_fp").select("u", "m", "v", "n"))
 
-    A bucket holds the sets with one shingle in their prefixes. In a small one all pairs are judged. In a large
-    one the least is judged with all others; then, round by round, members outside the bucket's largest component
-    are judged with all members of other components and leave, until one component is left in it. So
-    each pair of a bucket is judged or already in one component, and a group of copies costs a row a member.
-    """
+
+def _buckets(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """``word, id, size, weight, least``: sets with a common shingle in their prefixes; buckets of the same members are one that weighs their number."""
     at_word = Window.partitionBy("word")
-    met = _prefixes(docs, counts).repartition("word").distinct().select("word", "id", "size", F.count("*").over(at_word).alias("n"), F.bit_xor(F.xxhash64("id")).over(at_word).alias("who"), F.min(F.struct("id", "size")).over(at_word).alias("least"))
+    met = _prefixes(docs, ranks).repartition("word").distinct().select("word", "id", "size", F.count("*").over(at_word).alias("n"), F.bit_xor(F.xxhash64("id")).over(at_word).alias("who"), F.min(F.struct("id", "size")).over(at_word).alias("least"))
     met = cut(met.where("n > 1"))
-    # Buckets of the same members are one.
-    alike = met.where("id = least.id").groupBy("n", "who").agg(F.min("word").alias("word")).select("word")
-    met = cut(met.join(alike, "word"))
-    sets = cut(_sets(docs, met.select("id")))
-    small, large = met.where(f"n <= {AT_ONCE}"), cut(met.where(f"n > {AT_ONCE}").select("word", "id", "size", "least"))
-    one = small.select("word", F.col("id").alias("u"), F.col("size").alias("m"))
-    two = small.select("word", F.col("id").alias("v"), F.col("size").alias("n"))
-    star = large.where("id <> least.id").select(F.col("least.id").alias("u"), F.col("least.size").alias("m"), F.col("id").alias("v"), F.col("size").alias("n"))
-    linked = _judged(one.join(two, "word").where("u < v").select("u", "m", "v", "n").unionByName(star), sets)
+    alike = met.where("id = least.id").groupBy("n", "who").agg(F.min("word").alias("word"), F.count("*").alias("weight")).select("word", "weight")
+    return cut(met.select("word", "id", "size", "least").join(alike, "word"))
+
+
+def _near_links(docs: DataFrame, classes: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """``node, root`` of the components of all similar pairs.
+
+    Judged first are the pairs of ball hashing, and every set with the least of a bucket with which it shares
+    most. Then, round by round, some members outside a bucket's largest component are judged with all members of
+    other components in all of their buckets, and leave, until one component is left in each. So each pair of
+    a bucket is judged or already in one component, and a group of copies costs about a pair a member. Pairs of the
+    rounds share too little of their prefixes to be similar unless they share NEED less the longer REST.
+    """
+    met = _buckets(docs, ranks)
+    least = met.where("id <> least.id").select("word", "weight", F.col("least.id").alias("u"), F.col("least.size").alias("m"), F.col("id").alias("v"), F.col("size").alias("n"))
+    best = least.where(_FIT).groupBy("u", "m", "v", "n").agg(F.sum("weight").alias("k")).groupBy("v", "n").agg(F.max_by(F.struct("u", "m"), F.struct("k", "u")).alias("to")).select("to.u", "to.m", "v", "n")
+    first = cut(_balls(classes).unionByName(best).where(_FIT))
+    sets = cut(_sets(docs, met.select("id").unionByName(first.select(F.col("u").alias("id"))).unionByName(first.select(F.col("v").alias("id")))))
+    linked = _judged(first, sets)
     roots = cut(connected_components(linked))
-    left, most = large.where("id <> least.id").select("word", "id", "size"), 4
+    left, most = met.select("word", "id", "size", "weight"), AT_ONCE
     while True:
-        named = left.join(roots, left.id == roots.node, "left").select("word", "id", "size", F.coalesce("root", "id").alias("root"))
+        named = left.join(roots, left.id == roots.node, "left").select("word", "id", "size", "weight", F.coalesce("root", "id").alias("root"))
         by_root = cut(named.groupBy("word", "root").agg(F.count("*").alias("n")))
         words = by_root.groupBy("word").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
         left = cut(named.join(words.select("word", F.col("top.root").alias("top")), "word"))
         if left.isEmpty():
             return roots
-        rank = F.row_number().over(at_word.orderBy("id"))
-        now = cut(left.where("root <> top").withColumn("rank", rank).where(f"rank <= {most}").select("word", "id", "size", "root"))
-        others = left.select("word", F.col("id").alias("v"), F.col("size").alias("n"), F.col("root").alias("other"))
-        found = _judged(now.select("word", F.col("id").alias("u"), F.col("size").alias("m"), "root").join(others, "word").where("root <> other").select("u", "m", "v", "n"), sets)
+        rank = F.row_number().over(Window.partitionBy("word").orderBy("id"))
+        now = cut(left.where("root <> top").withColumn("rank", rank).where(f"rank <= {most}").select("id").distinct().withColumn("now", F.lit(True)))
+        held = cut(left.join(now, "id", "left").select("word", "id", "size", "weight", "root", "now"))
+        one = held.where("now").select("word", F.col("id").alias("u"), F.col("size").alias("m"), F.col("root").alias("own"))
+        two = held.select("word", F.col("id").alias("v"), F.col("size").alias("n"), "root", "weight", "now")
+        pairs = one.join(two, "word").where("own <> root AND (now IS NULL OR u < v)").groupBy("u", "m", "v", "n").agg(F.sum("weight").alias("k"))
+        found = _judged(pairs.where(f"k >= {_NEED} - greatest({_REST % 'm'}, {_REST % 'n'})"), sets)
         linked = linked.unionByName(found)
         if not found.isEmpty():
             roots = cut(connected_components(linked))
-        left = cut(left.select("word", "id", "size").join(now.select("word", "id"), ["word", "id"], "left_anti"))
+        left = held.where("now IS NULL").select("word", "id", "size", "weight")
         most *= 4
 
 
@@ -281,9 +315,9 @@ def near_copy_classes(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` for documents linked by a similarity of 0.8 or more."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     seen = cut(_set_ids(texts))
-    marked = seen.where("piece IS NULL").select("doc_id", "id")
-    classes = cut(marked.groupBy("id").agg(F.min("doc_id").alias("least")))
-    roots = _near_links(texts, _slot_counts(seen))
+    marked = seen.where("piece IS NULL").select("doc_id", "id", "size", "fp")
+    classes = cut(marked.groupBy("id", "size", "fp").agg(F.min("doc_id").alias("least")))
+    roots = _near_links(texts, classes, _slot_ranks(seen))
     rooted = cut(classes.join(roots, classes.id == roots.node).select("id", "least", "root"))
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     by_id = cut(rooted.join(named, "root").select("id", "component_id").unionByName(classes.join(rooted, "id", "left_anti").select("id", F.col("least").alias("component_id"))))
@@ -293,7 +327,8 @@ def near_copy_classes(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The documents, all columns as they were, without those that are near copies of one with a smaller id.
 
-    Rows without an id stay; rows that share an id are one document and stay or go together.
+    Rows without an id stay; rows that share an id are one document and stay or go together. Texts without words
+    are one group. Very long texts are judged whole; repeated rows and ties are one class; an empty table stays empty.
     """
     gone = cut(near_copy_classes(docs).where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
