@@ -31,6 +31,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """As ``cut``, for tables that are joined round after round.
+
+    A checkpoint keeps the size its plan was estimated at, and a join's estimate is the product of its sides', so within
+    a few rounds the estimates alone would fill the driver with numbers of millions of digits. The rows are taken
+    over as a table without an estimate; adaptive execution measures the real sizes.
+    """
+    done, spark = cut(df)._jdf, df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+
+
 def map_batches(df: DataFrame, each: Callable[..., dict[str, list]], schema: str) -> DataFrame:
     """``each`` gets the columns of an Arrow batch as Python lists and returns the output columns."""
 

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut
+from ledgerline.llm.common import cut_in_loop
 
 
 def _minima(pairs: DataFrame) -> DataFrame:
-    return cut(pairs.groupBy("u").agg(F.min("v").alias("m")))
+    return cut_in_loop(pairs.groupBy("u").agg(F.min("v").alias("m")))
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -22,17 +22,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Self-loops, repeated and mirrored edges and nulls are ignored; no edges give no rows.
     """
-    links = cut(
+    links = cut_in_loop(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     seen = None
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _minima(both).withColumn("m", F.least("u", "m"))
-        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut_in_loop(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = _minima(large)
         near = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut(near.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        links = cut_in_loop(near.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -25,7 +25,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.blocks import pack, unpack
-from ledgerline.llm.common import ROWS, cut, map_batches, table, utf8
+from ledgerline.llm.common import ROWS, cut, cut_in_loop, map_batches, table, utf8
 from ledgerline.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -249,15 +249,21 @@ _REST = f"ceil({SIMILAR[0]} * %s / {SIMILAR[1]}) - 1"
 _NEED = f"ceil({SIMILAR[0]} * (m + n) / {sum(SIMILAR)})"
 
 
-def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct pairs of ``u, v`` whose sizes ``m, n`` allow the similarity, verified."""
-    fit = pairs.where(_FIT)
-    return cut(_verified(fit.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets))
+#: Pairs that share less of their prefixes cannot be similar.
+_ENOUGH = f"k >= {_NEED} - greatest({_REST % 'm'}, {_REST % 'n'})"
+
+
+def _judged(pairs: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Distinct pairs of ``u, v`` whose sizes ``m, n`` allow the similarity, verified; None if there are none to verify."""
+    pairs = cut_in_loop(pairs.where(_FIT).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    if pairs.isEmpty():
+        return None
+    return cut_in_loop(_verified(pairs, _sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")))))
 
 
 def _balls(classes: DataFrame) -> DataFrame:
     """``u, m, v, n``: of sets of one fingerprint all with the least, and the least of fingerprints that ball hashing links."""
-    heads = cut(classes.groupBy("fp").agg(F.min(F.struct("id", "size")).alias("head")))
+    heads = cut_in_loop(classes.groupBy("fp").agg(F.min(F.struct("id", "size")).alias("head")))
     one = classes.join(heads, "fp").where("id <> head.id").select(F.col("head.id").alias("u"), F.col("head.size").alias("m"), F.col("id").alias("v"), F.col("size").alias("n"))
     side = lambda c, size: heads.select(F.col("fp").alias(f"{c}_fp"), F.col("head.id").alias(c), F.col("head.size").alias(size))
     near = links(heads.select("fp")).select(F.col("u").alias("u_fp"), F.col("v").alias("v_fp"))
@@ -268,9 +274,9 @@ def _buckets(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     """``word, id, size, weight, least``: sets with a common shingle in their prefixes; buckets of the same members are one that weighs their number."""
     at_word = Window.partitionBy("word")
     met = _prefixes(docs, ranks).repartition("word").distinct().select("word", "id", "size", F.count("*").over(at_word).alias("n"), F.bit_xor(F.xxhash64("id")).over(at_word).alias("who"), F.min(F.struct("id", "size")).over(at_word).alias("least"))
-    met = cut(met.where("n > 1"))
+    met = cut_in_loop(met.where("n > 1"))
     alike = met.where("id = least.id").groupBy("n", "who").agg(F.min("word").alias("word"), F.count("*").alias("weight")).select("word", "weight")
-    return cut(met.select("word", "id", "size", "least").join(alike, "word"))
+    return cut_in_loop(met.select("word", "id", "size", "least").join(alike, "word"))
 
 
 def _near_links(docs: DataFrame, classes: DataFrame, ranks: np.ndarray) -> DataFrame:
@@ -279,34 +285,35 @@ def _near_links(docs: DataFrame, classes: DataFrame, ranks: np.ndarray) -> DataF
     Judged first are the pairs of ball hashing, and every set with the least of a bucket with which it shares
     most. Then, round by round, some members outside a bucket's largest component are judged with all members of
     other components in all of their buckets, and leave, until one component is left in each. So each pair of
-    a bucket is judged or already in one component, and a group of copies costs about a pair a member. Pairs of the
-    rounds share too little of their prefixes to be similar unless they share NEED less the longer REST.
+    a bucket is judged or already in one component, and a group of copies costs about a pair a member. Pairs that
+    share too little of their prefixes are left out exactly: sets with NEED shingles in common have at most the longer REST of
+    them beyond the prefixes.
     """
     met = _buckets(docs, ranks)
     least = met.where("id <> least.id").select("word", "weight", F.col("least.id").alias("u"), F.col("least.size").alias("m"), F.col("id").alias("v"), F.col("size").alias("n"))
-    best = least.where(_FIT).groupBy("u", "m", "v", "n").agg(F.sum("weight").alias("k")).groupBy("v", "n").agg(F.max_by(F.struct("u", "m"), F.struct("k", "u")).alias("to")).select("to.u", "to.m", "v", "n")
-    first = cut(_balls(classes).unionByName(best).where(_FIT))
-    sets = cut(_sets(docs, met.select("id").unionByName(first.select(F.col("u").alias("id"))).unionByName(first.select(F.col("v").alias("id")))))
-    linked = _judged(first, sets)
-    roots = cut(connected_components(linked))
+    best = least.where(_FIT).groupBy("u", "m", "v", "n").agg(F.sum("weight").alias("k")).where(_ENOUGH).groupBy("v", "n").agg(F.max_by(F.struct("u", "m"), F.struct("k", "u")).alias("to")).select("to.u", "to.m", "v", "n")
+    linked = _judged(_balls(classes).unionByName(best), docs)
+    if linked is None:
+        linked = classes.sparkSession.createDataFrame([], "u long, v long")
+    roots = cut_in_loop(connected_components(linked))
     left, most = met.select("word", "id", "size", "weight"), AT_ONCE
     while True:
         named = left.join(roots, left.id == roots.node, "left").select("word", "id", "size", "weight", F.coalesce("root", "id").alias("root"))
-        by_root = cut(named.groupBy("word", "root").agg(F.count("*").alias("n")))
+        by_root = cut_in_loop(named.groupBy("word", "root").agg(F.count("*").alias("n")))
         words = by_root.groupBy("word").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
-        left = cut(named.join(words.select("word", F.col("top.root").alias("top")), "word"))
+        left = cut_in_loop(named.join(words.select("word", F.col("top.root").alias("top")), "word"))
         if left.isEmpty():
             return roots
         rank = F.row_number().over(Window.partitionBy("word").orderBy("id"))
-        now = cut(left.where("root <> top").withColumn("rank", rank).where(f"rank <= {most}").select("id").distinct().withColumn("now", F.lit(True)))
-        held = cut(left.join(now, "id", "left").select("word", "id", "size", "weight", "root", "now"))
+        now = cut_in_loop(left.where("root <> top").withColumn("rank", rank).where(f"rank <= {most}").select("id").distinct().withColumn("now", F.lit(True)))
+        held = cut_in_loop(left.join(now, "id", "left").select("word", "id", "size", "weight", "root", "now"))
         one = held.where("now").select("word", F.col("id").alias("u"), F.col("size").alias("m"), F.col("root").alias("own"))
         two = held.select("word", F.col("id").alias("v"), F.col("size").alias("n"), "root", "weight", "now")
         pairs = one.join(two, "word").where("own <> root AND (now IS NULL OR u < v)").groupBy("u", "m", "v", "n").agg(F.sum("weight").alias("k"))
-        found = _judged(pairs.where(f"k >= {_NEED} - greatest({_REST % 'm'}, {_REST % 'n'})"), sets)
-        linked = linked.unionByName(found)
-        if not found.isEmpty():
-            roots = cut(connected_components(linked))
+        found = _judged(pairs.where(_ENOUGH), docs)
+        if found is not None and not found.isEmpty():
+            linked = linked.unionByName(found)
+            roots = cut_in_loop(connected_components(linked))
         left = held.where("now IS NULL").select("word", "id", "size", "weight")
         most *= 4
 
