@@ -1,21 +1,25 @@
 """Operator 7: quality classifier by importance resampling.
 
-Two generative models over hashed word and word-pair features, one of target text (labelled good and not
-toxic) and one of raw text (all labelled rows), give every document the log of its importance weight:
-the sum over its features of log p_target - log p_raw. Documents are then drawn without replacement by
-Gumbel top-k: key = (log weight - threshold) / TEMPERATURE + Gumbel noise, and the k largest keys stay,
-k being the number of documents whose log weight reaches the threshold. The threshold is the one that
-best separates a calibration fifth of the labelled rows (true positive rate plus true negative rate).
+Two generative models over hashed n-grams, one of target text (labelled good and not toxic) and one of raw text (all
+documents), give every document the log of its importance weight, log p_target - log p_raw. A model takes a document as
+the set of its features and every feature as present or absent with a probability of its own, so each is normalised.
+Documents are then drawn without replacement by Gumbel top-k: key = log weight / TEMPERATURE + Gumbel noise, and the k
+largest keys stay, k being the number of documents whose log weight reaches the threshold. The threshold is the one
+that best separates a calibration fifth of the labelled rows, where a lost good row counts as CLEAN rejected ones.
 The noise comes from a hash of the text, so copies share their fate and a rerun gives the same rows.
 
-The k-th key is found exactly by radix refinement: four counts of at most 65,536 bins, never a sort.
+The raw model's probabilities are the shares of all documents that have a feature. The target model's are theirs times a
+ratio, the posterior mean from the labelled rows that have the feature: with probability 1 - DIFFERENT a feature is
+as frequent in target as in raw text (ratio 1), else its share of good rows has a beta prior about the overall share, of
+strength STRENGTH. The k-th key is found exactly by radix refinement: four counts of at most 65,536 bins, never a sort.
 
-Bounds: at most SAMPLE labelled rows fit the model (the smallest hashes of their ids; the only sample
-taken), and at most 2 * TABLE counts reach the driver and are broadcast, whatever the corpus.
+Bounds: at most SAMPLE labelled rows fit the model (the smallest hashes of their ids; the only sample taken); a task sends
+five numbers a bucket, and as many reach the driver, whatever the corpus.
 
-Cases: a null or empty text has log weight 0; labels that are null, repeated or without document are
-ignored or folded; without both kinds of labels nothing is rejected; equal keys stay or go together;
-extra columns are dropped by ``score`` and kept by ``accept``.
+Cases: a null, empty or very long text is a set like any other; an empty one weighs what absent features do, 0 by definition;
+labels that are null, repeated or without document are ignored or folded; without both kinds of labels, or without documents,
+nothing is rejected; equal keys stay or go together; repeated rows count and are drawn each; extra columns are
+dropped by ``classify`` and kept by ``accept``, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,16 +30,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from ledgerline.llm.blocks import pack, unpack
 from ledgerline.llm.common import cut, map_batches, table, utf8
 
-BUCKETS, SAMPLE, TEMPERATURE = 1 << 18, 50_000, 0.05
-#: Pseudo-counts a bucket; buckets whose target share is within so many standard errors of the overall one weigh 0.
-SMOOTHING, SURE = 1.0, 3.0
+BUCKETS, SAMPLE, TEMPERATURE, CLEAN = 1 << 18, 50_000, 1.0, 2.0
+#: Prior: part of features that differ between target and raw text, and how many rows their beta prior is worth.
+DIFFERENT, STRENGTH = 0.01, 1.0
 #: Words, word pairs, and the repeat features.
 TABLE = 2 * BUCKETS + 16
 _TOKENS = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")
@@ -44,7 +51,7 @@ _known: dict[bytes, int] = {}
 
 
 def features(text: str | None) -> np.ndarray:
-    """Bucket numbers: words in the lower half of the table, word pairs in the upper, repeats at its end.
+    """Distinct bucket numbers: words in the lower half of the table, word pairs in the upper, repeats at its end.
 
     A token equal to the one before it, or before that, adds a feature that stands for how large a share
     of the text such tokens are (in eighths).
@@ -63,14 +70,14 @@ def features(text: str | None) -> np.ndarray:
     parts = [words >> np.uint64(7) & (size - np.uint64(1)), (pairs >> np.uint64(33) & (size - np.uint64(1))) + size]
     for lag in (1, 2):
         same = int(np.count_nonzero(words[lag:] == words[:-lag]))
-        level = 8 * same // len(words)
-        parts.append(np.full(same, 2 * BUCKETS + 8 * lag - 8 + level, np.uint64))
-    return np.concatenate(parts).astype(np.int64)
+        if same:
+            parts.append(np.array([2 * BUCKETS + 8 * lag - 8 + 8 * same // len(words)], np.uint64))
+    return np.unique(np.concatenate(parts).astype(np.int64))
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # log ratio by bucket
+    weights: np.ndarray  # log odds of a present feature by bucket
     threshold: float
 
     def log_weight(self, text: str | None) -> float:
@@ -81,62 +88,101 @@ class Model:
         if not math.isfinite(self.threshold):
             return 0.0
         u = (xxhash.xxh64_intdigest(utf8(text), 7) + 0.5) / 2.0**64
-        return (log_weight - self.threshold) / TEMPERATURE - math.log(-math.log(min(u, 1 - 2.0**-53)))
+        return log_weight / TEMPERATURE - math.log(-math.log(min(u, 1 - 2.0**-53)))
 
 
-def _ratios(counts: DataFrame, good: str, n: str, share: float) -> np.ndarray:
-    """Log ratios by bucket. A document counts once a bucket, so ``share``, the part of documents that are
-    target, makes the two models' sizes equal. Only buckets that weigh something reach the driver."""
-    out = np.zeros(TABLE, np.float32)
-    if 0 < share < 1:
-        rows = counts.selectExpr("bucket", f"{good} AS good", f"{n} AS n")
-        for bucket, target, raw in rows.where(f"abs(good - {share!r}D * n) >= {SURE}D * sqrt(n * {share * (1 - share)!r}D + 1)").collect():
-            out[bucket] = math.log((target / share + SMOOTHING) / (raw + SMOOTHING))
-    return out
+def log_ratios(good: np.ndarray, rows: np.ndarray, share: float, raw: np.ndarray) -> np.ndarray:
+    """What a feature's presence adds to log p_target - log p_raw, less what its absence adds.
 
+    ``good`` of the ``rows`` labelled rows with the feature are target, as ``share`` of all are; ``raw`` is the part of all documents with it.
+    """
+    if not 0 < share < 1:
+        return np.zeros(len(good))
+    a, b = STRENGTH * share, STRENGTH * (1 - share)
+    bad = rows - good
+    same = good * math.log(share) + bad * math.log(1 - share)
+    other = log_gamma(good + a) + log_gamma(bad + b) - log_gamma(rows + STRENGTH) + (math.lgamma(STRENGTH) - math.lgamma(a) - math.lgamma(b))
+    differs = 1 / (1 + np.exp(np.clip(same - other + math.log((1 - DIFFERENT) / DIFFERENT), -700, 700)))
+    ratio = 1 - differs + differs * (good + a) / ((rows + STRENGTH) * share)
+    raw = np.clip(raw, 0, 1 - 1e-6)
+    return np.log(ratio) - np.log1p(-np.minimum(ratio * raw, 1 - 1e-6)) + np.log1p(-raw)
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Both models and the threshold, from a bounded sample of labelled rows."""
-    spark = docs.sparkSession
-    one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(((F.min("quality") == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)).alias("good"))
-    sample = one.withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(SAMPLE).collect()
-    chosen = {r["doc_id"]: (r["good"], r["h"] % 5 == 0) for r in sample}
-    sent = spark.sparkContext.broadcast(chosen)
-    ids = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id long"))  # SAMPLE rows at most
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, 2, TABLE), np.int32)
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for k, i in enumerate(ids):
-                good, later = sent.value[i]
-                held[int(later), int(good), np.unique(features(batch.column(1)[k].as_py()))] += 1
-        for fold in (0, 1):
-            if len(at := np.flatnonzero(held[fold].sum(axis=0))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), fold, np.int32)), pa.array(at.astype(np.int32)), pa.array(held[fold, 1, at].astype(np.int64)), pa.array(held[fold].sum(axis=0)[at].astype(np.int64))], names=["fold", "bucket", "good", "n"])
-
-    share = sum(good for good, _ in chosen.values()) / max(1, len(chosen))
-    first = lambda c: F.coalesce(F.sum(F.when(F.col("fold") == 0, F.col(c))), F.lit(0))
-    counts = cut(
-        texts.mapInArrow(count, "fold int, bucket int, good long, n long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("n").alias("n"), first("good").alias("good_0"), first("n").alias("n_0"))
-    )
-    trial = spark.sparkContext.broadcast(_ratios(counts, "good_0", "n_0", share))
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """By Stirling's series from 8 on, and the recurrence below."""
+    out, x = np.zeros(len(x)), np.array(x, float)
+    for _ in range(8):
+        low = x < 8
+        out -= np.log(np.where(low, x, 1.0))
+        x += low
+    return out + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
 
-    def calibrate(doc_id: list, text: list) -> dict:
-        rows = [(float(trial.value[features(t)].sum(dtype=np.float64)), sent.value[i][0]) for i, t in zip(doc_id, text) if sent.value[i][1]]
-        return {"w": [r[0] for r in rows], "good": [r[1] for r in rows]}
 
-    held_out = sorted((r["w"], r["good"]) for r in map_batches(texts, calibrate, "w double, good boolean").collect())
+#: Counts of a bucket: documents, labelled rows and good ones, and both without the calibration fold.
+_KINDS, _PIECES = 5, 32
+
+
+def _counts(texts: DataFrame, chosen: dict[int, tuple[bool, bool]]) -> tuple[np.ndarray, int]:
+    """``_KINDS`` counts by bucket, and the number of documents. Tasks send packed arrays, added up by pieces of the table."""
+    sent = texts.sparkSession.sparkContext.broadcast(chosen)
+    schema = pa.schema([("piece", pa.int32()), ("documents", pa.int64()), ("counts", pa.binary())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, documents = np.zeros((TABLE, _KINDS), np.int32), 0
+        for batch in batches:
+            for k, i in enumerate(batch.column(0).to_pylist()):
+                good, later = sent.value.get(i, (None, True))
+                known = good is not None
+                held[features(batch.column(1)[k].as_py())] += np.array((1, known, known and good, not later, not later and good), np.int32)
+                documents += 1
+        for k, piece in enumerate(np.array_split(held, _PIECES)):
+            if documents:
+                yield pa.RecordBatch.from_pydict({"piece": [k], "documents": [documents], "counts": [pack(piece, np.int32)]}, schema=schema)
+
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"piece": pdf.piece.iloc[0], "documents": pdf.documents.sum(), "counts": pack(sum(unpack(x, np.int32).astype(np.int64) for x in pdf["counts"]), np.int64)}])
+
+    rows = texts.mapInArrow(count, "piece int, documents long, counts binary").groupBy("piece").applyInPandas(add_up, "piece int, documents long, counts binary").collect()
+    if not rows:
+        return np.zeros((TABLE, _KINDS), np.int64), 0
+    return np.concatenate([unpack(r["counts"], np.int64).reshape(-1, _KINDS) for r in sorted(rows, key=lambda r: r["piece"])]), rows[0]["documents"]
+
+
+def separating(held_out: list[tuple[float, bool]]) -> float:
+    """The threshold with the largest sum of the share of bad rows below it and CLEAN times that of good rows above; -inf without both kinds."""
+    held_out = sorted(held_out)
     good, w = np.array([g for _, g in held_out], bool), np.array([x for x, _ in held_out])
     if good.all() or not good.any():
-        return Model(np.zeros(TABLE, np.float32), -math.inf)
+        return -math.inf
     # Cutting below row i rejects the first i rows; equal weights are not cut apart.
-    merit = np.concatenate(([0], np.cumsum(np.where(good, -1 / good.sum(), 1 / (~good).sum()))))
+    merit = np.concatenate(([0], np.cumsum(np.where(good, -CLEAN / good.sum(), 1 / (~good).sum()))))
     merit[1:-1][w[1:] == w[:-1]] = -np.inf
     i = int(np.argmax(merit))
-    threshold = w[0] - 1 if i == 0 else w[-1] + 1 if i == len(w) else (w[i - 1] + w[i]) / 2
-    return Model(_ratios(counts, "good", "n", share), float(threshold))
+    return float(w[0] - 1 if i == 0 else w[-1] + 1 if i == len(w) else (w[i - 1] + w[i]) / 2)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Both models and the threshold; target from a bounded sample of labelled rows, raw from all documents."""
+    spark = docs.sparkSession
+    one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(((F.min("quality") == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)).alias("good"))
+    sample = one.withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(SAMPLE).collect()
+    chosen = {r["doc_id"]: (r["good"], r["h"] % 5 == 0) for r in sample}
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    counts, documents = _counts(texts, chosen)
+    raw, share = counts[:, 0] / max(1, documents), sum(good for good, _ in chosen.values()) / max(1, len(chosen))
+    trial = spark.sparkContext.broadcast(log_ratios(counts[:, 4], counts[:, 3], share, raw).astype(np.float32))
+    later = {i: good for i, (good, held) in chosen.items() if held}
+    sent, ids = spark.sparkContext.broadcast(later), F.broadcast(spark.createDataFrame([(i,) for i in later], "doc_id long"))  # SAMPLE rows at most
+
+    def calibrate(doc_id: list, text: list) -> dict:
+        return {"doc_id": doc_id, "w": [float(trial.value[features(t)].sum(dtype=np.float64)) for t in text], "good": [sent.value[i] for i in doc_id]}
+
+    # A repeated id counts once, as the largest weight it has.
+    scored = map_batches(texts.join(ids, "doc_id", "left_semi"), calibrate, "doc_id long, w double, good boolean").groupBy("doc_id").agg(F.max("w").alias("w"), F.first("good").alias("good"))
+    threshold = separating([(r["w"], r["good"]) for r in scored.collect()])
+    if not math.isfinite(threshold):
+        return Model(np.zeros(TABLE, np.float32), threshold)
+    return Model(log_ratios(counts[:, 2], counts[:, 1], share, raw).astype(np.float32), threshold)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -193,19 +239,26 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are drawn, all columns as they were."""
-    model, _, least = _decide(docs, labels)
+    """The documents that are drawn, all columns as they were. Texts are scored once, beside their rows."""
+    model = fit(docs, labels)
     if not math.isfinite(model.threshold):
         return docs
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    spark, at = docs.sparkSession, docs.columns.index("text")
+    sent = spark.sparkContext.broadcast(model)
+    names = [next(n for k in range(len(docs.columns) + 2) if (n := f"{name}_{k}") not in docs.columns) for name in ("weight", "bits")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            keep = [least is not None and ordered_bits(sent.value.key(t, sent.value.log_weight(t))) >= least for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            weights = [sent.value.log_weight(t) for t in texts]
+            bits = [ordered_bits(sent.value.key(t, w)) for t, w in zip(texts, weights)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights, pa.float64()), pa.array(bits, pa.int64())], names=[*batch.schema.names, *names])
+
+    schema = StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], LongType())])
+    scored = cut(docs.mapInArrow(run, schema))
+    weight, bits = scored[names[0]], scored[names[1]]
+    least = kth_largest(scored.select(bits.alias("bits")), scored.where(weight >= model.threshold).count())
+    return scored.where(F.lit(False) if least is None else bits >= F.lit(least)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
