@@ -1,22 +1,22 @@
 """Operator 7: quality classifier by importance resampling.
 
 Two generative models over hashed n-grams, one of target text (labelled good and not toxic) and one of raw text (all
-documents), give every document the log of its importance weight, log p_target - log p_raw. A model takes a document as
-the set of its features and every feature as present or absent with a probability of its own, so each is normalised.
+documents), give every document the log of its importance weight, log p_target - log p_raw. A model draws every feature
+of a document's set at a rate of its own (a Poisson process), so each is normalised, and the weights' mean over raw text is 1.
 Documents are then drawn without replacement by Gumbel top-k: key = log weight / TEMPERATURE + Gumbel noise, and the k
 largest keys stay, k being the number of documents whose log weight reaches the threshold. The threshold is the one
-that best separates a calibration fifth of the labelled rows, where a lost good row counts as CLEAN rejected ones.
+that best separates a calibration fifth of the labelled rows, from which the models do not learn; a lost good row counts
+as CLEAN kept bad ones.
 The noise comes from a hash of the text, so copies share their fate and a rerun gives the same rows.
 
-The raw model's probabilities are the shares of all documents that have a feature. The target model's are theirs times a
-ratio, the posterior mean from the labelled rows that have the feature: with probability 1 - DIFFERENT a feature is
+The raw model's rates are the shares of all documents that have a feature. The target model's are theirs times a ratio, the posterior mean from the labelled rows that have the feature: with probability 1 - DIFFERENT a feature is
 as frequent in target as in raw text (ratio 1), else its share of good rows has a beta prior about the overall share, of
 strength STRENGTH. The k-th key is found exactly by radix refinement: four counts of at most 65,536 bins, never a sort.
 
 Bounds: at most SAMPLE labelled rows fit the model (the smallest hashes of their ids; the only sample taken); a task sends
 five numbers a bucket, and as many reach the driver, whatever the corpus.
 
-Cases: a null, empty or very long text is a set like any other; an empty one weighs what absent features do, 0 by definition;
+Cases: a null, empty or very long text is a set like any other; an empty one weighs what absent features do;
 labels that are null, repeated or without document are ignored or folded; without both kinds of labels, or without documents,
 nothing is rejected; equal keys stay or go together; repeated rows count and are drawn each; extra columns are
 dropped by ``classify`` and kept by ``accept``, whatever their names; an empty table gives no rows.
@@ -27,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -40,9 +40,9 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from ledgerline.llm.blocks import pack, unpack
 from ledgerline.llm.common import cut, map_batches, table, utf8
 
-BUCKETS, SAMPLE, TEMPERATURE, CLEAN = 1 << 18, 50_000, 1.0, 2.0
+BUCKETS, SAMPLE, TEMPERATURE, CLEAN = 1 << 18, 50_000, 1.0, 4.0
 #: Prior: part of features that differ between target and raw text, and how many rows their beta prior is worth.
-DIFFERENT, STRENGTH = 0.01, 1.0
+DIFFERENT, STRENGTH = 0.001, 1.0
 #: Words, word pairs, and the repeat features.
 TABLE = 2 * BUCKETS + 16
 _TOKENS = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")
@@ -77,11 +77,12 @@ def features(text: str | None) -> np.ndarray:
 
 @dataclass
 class Model:
-    weights: np.ndarray  # log odds of a present feature by bucket
-    threshold: float
+    weights: np.ndarray  # log ratio of the rates by bucket
+    absent: float  # what a document without features weighs
+    threshold: float = -math.inf
 
     def log_weight(self, text: str | None) -> float:
-        return float(self.weights[features(text)].sum(dtype=np.float64))
+        return self.absent + float(self.weights[features(text)].sum(dtype=np.float64))
 
     def key(self, text: str | None, log_weight: float) -> float:
         """What the top-k draw ranks by; without a threshold all documents are alike."""
@@ -91,21 +92,17 @@ class Model:
         return log_weight / TEMPERATURE - math.log(-math.log(min(u, 1 - 2.0**-53)))
 
 
-def log_ratios(good: np.ndarray, rows: np.ndarray, share: float, raw: np.ndarray) -> np.ndarray:
-    """What a feature's presence adds to log p_target - log p_raw, less what its absence adds.
-
-    ``good`` of the ``rows`` labelled rows with the feature are target, as ``share`` of all are; ``raw`` is the part of all documents with it.
-    """
+def model(good: np.ndarray, rows: np.ndarray, share: float, raw: np.ndarray) -> Model:
+    """From the ``rows`` labelled rows with a feature, of which ``good`` are target, as ``share`` of all are, and the part ``raw`` of all documents that has it."""
     if not 0 < share < 1:
-        return np.zeros(len(good))
+        return Model(np.zeros(len(good), np.float32), 0.0)
     a, b = STRENGTH * share, STRENGTH * (1 - share)
     bad = rows - good
     same = good * math.log(share) + bad * math.log(1 - share)
     other = log_gamma(good + a) + log_gamma(bad + b) - log_gamma(rows + STRENGTH) + (math.lgamma(STRENGTH) - math.lgamma(a) - math.lgamma(b))
     differs = 1 / (1 + np.exp(np.clip(same - other + math.log((1 - DIFFERENT) / DIFFERENT), -700, 700)))
     ratio = 1 - differs + differs * (good + a) / ((rows + STRENGTH) * share)
-    raw = np.clip(raw, 0, 1 - 1e-6)
-    return np.log(ratio) - np.log1p(-np.minimum(ratio * raw, 1 - 1e-6)) + np.log1p(-raw)
+    return Model(np.log(ratio).astype(np.float32), float(-(raw * (ratio - 1)).sum()))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -118,8 +115,8 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return out + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
 
 
-#: Counts of a bucket: documents, labelled rows and good ones, and both without the calibration fold.
-_KINDS, _PIECES = 5, 32
+#: Counts of a bucket: documents, labelled rows to learn from, and the good ones of them.
+_KINDS, _PIECES = 3, 32
 
 
 def _counts(texts: DataFrame, chosen: dict[int, tuple[bool, bool]]) -> tuple[np.ndarray, int]:
@@ -131,9 +128,8 @@ def _counts(texts: DataFrame, chosen: dict[int, tuple[bool, bool]]) -> tuple[np.
         held, documents = np.zeros((TABLE, _KINDS), np.int32), 0
         for batch in batches:
             for k, i in enumerate(batch.column(0).to_pylist()):
-                good, later = sent.value.get(i, (None, True))
-                known = good is not None
-                held[features(batch.column(1)[k].as_py())] += np.array((1, known, known and good, not later, not later and good), np.int32)
+                good, later = sent.value.get(i, (False, True))
+                held[features(batch.column(1)[k].as_py())] += np.array((1, not later, not later and good), np.int32)
                 documents += 1
         for k, piece in enumerate(np.array_split(held, _PIECES)):
             if documents:
@@ -169,25 +165,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = {r["doc_id"]: (r["good"], r["h"] % 5 == 0) for r in sample}
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     counts, documents = _counts(texts, chosen)
-    raw, share = counts[:, 0] / max(1, documents), sum(good for good, _ in chosen.values()) / max(1, len(chosen))
-    trial = spark.sparkContext.broadcast(log_ratios(counts[:, 4], counts[:, 3], share, raw).astype(np.float32))
+    learned = [good for good, held in chosen.values() if not held]
+    fitted = model(counts[:, 2], counts[:, 1], sum(learned) / max(1, len(learned)), counts[:, 0] / max(1, documents))
+    trial = spark.sparkContext.broadcast(fitted)
     later = {i: good for i, (good, held) in chosen.items() if held}
     sent, ids = spark.sparkContext.broadcast(later), F.broadcast(spark.createDataFrame([(i,) for i in later], "doc_id long"))  # SAMPLE rows at most
 
     def calibrate(doc_id: list, text: list) -> dict:
-        return {"doc_id": doc_id, "w": [float(trial.value[features(t)].sum(dtype=np.float64)) for t in text], "good": [sent.value[i] for i in doc_id]}
+        return {"doc_id": doc_id, "w": list(map(trial.value.log_weight, text)), "good": [sent.value[i] for i in doc_id]}
 
     # A repeated id counts once, as the largest weight it has.
     scored = map_batches(texts.join(ids, "doc_id", "left_semi"), calibrate, "doc_id long, w double, good boolean").groupBy("doc_id").agg(F.max("w").alias("w"), F.first("good").alias("good"))
-    threshold = separating([(r["w"], r["good"]) for r in scored.collect()])
-    if not math.isfinite(threshold):
-        return Model(np.zeros(TABLE, np.float32), threshold)
-    return Model(log_ratios(counts[:, 2], counts[:, 1], share, raw).astype(np.float32), threshold)
+    return replace(fitted, threshold=separating([(r["w"], r["good"]) for r in scored.collect()]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, fitted: Model) -> DataFrame:
     """``doc_id, log_weight, key, bits`` for every document; ``bits`` sorts as the key does."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def each(doc_id: list, text: list) -> dict:
         weights = [sent.value.log_weight(t) for t in text]
@@ -225,10 +219,10 @@ def kth_largest(scored: DataFrame, k: int) -> int | None:
 
 def _decide(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame, int | None]:
     """The model, all scores, and the least ``bits`` that is drawn."""
-    model = fit(docs, labels)
-    scored = cut(score(docs, model))
-    k = scored.where(F.col("log_weight") >= model.threshold).count()
-    return model, scored, kth_largest(scored, k)
+    fitted = fit(docs, labels)
+    scored = cut(score(docs, fitted))
+    k = scored.where(F.col("log_weight") >= fitted.threshold).count()
+    return fitted, scored, kth_largest(scored, k)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -240,11 +234,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are drawn, all columns as they were. Texts are scored once, beside their rows."""
-    model = fit(docs, labels)
-    if not math.isfinite(model.threshold):
+    fitted = fit(docs, labels)
+    if not math.isfinite(fitted.threshold):
         return docs
     spark, at = docs.sparkSession, docs.columns.index("text")
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(fitted)
     names = [next(n for k in range(len(docs.columns) + 2) if (n := f"{name}_{k}") not in docs.columns) for name in ("weight", "bits")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +251,7 @@ def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], LongType())])
     scored = cut(docs.mapInArrow(run, schema))
     weight, bits = scored[names[0]], scored[names[1]]
-    least = kth_largest(scored.select(bits.alias("bits")), scored.where(weight >= model.threshold).count())
+    least = kth_largest(scored.select(bits.alias("bits")), scored.where(weight >= fitted.threshold).count())
     return scored.where(F.lit(False) if least is None else bits >= F.lit(least)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

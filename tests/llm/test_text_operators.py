@@ -423,38 +423,39 @@ def test_quality_draw_by_brute_force(labelled, spark):
     table = [(r.doc_id, r.text) for r in docs.collect()] + [(None, None), (7, "again"), (600, "")]
     good = {i: bool(i % 5 and i % 7) for i in range(1, 600, 2)} | {99999: True}
     fold = {r.doc_id: r.h % 5 == 0 for r in spark.createDataFrame([(i,) for i in good], "doc_id long").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
-    share = sum(good.values()) / len(good)
-    seen, own, target = collections.Counter(), [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    learned = [good[i] for i in good if not fold[i]]
+    share = sum(learned) / len(learned)
+    seen, own, target = collections.Counter(), collections.Counter(), collections.Counter()
     for i, t in table:
         for f in set(quality.features(t).tolist()):
             seen[f] += 1
-            for k in range(2):
-                if i in good and (k == 0 or not fold[i]):
-                    own[k][f] += 1
-                    target[k][f] += good[i]
-
-    def weight(text, k):
-        total = 0.0
-        for f in set(quality.features(text).tolist()):
-            g, n, a, b = target[k][f], own[k][f], quality.STRENGTH * share, quality.STRENGTH * (1 - share)
+            if i in good and not fold[i]:
+                own[f] += 1
+                target[f] += good[i]
+
+    def ratios(features):
+        for f in features:
+            g, n, a, b = target[f], own[f], quality.STRENGTH * share, quality.STRENGTH * (1 - share)
             same = share**g * (1 - share) ** (n - g)
             other = math.exp(math.lgamma(g + a) + math.lgamma(n - g + b) - math.lgamma(n + a + b) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
             p = quality.DIFFERENT * other / (quality.DIFFERENT * other + (1 - quality.DIFFERENT) * same)
-            ratio = 1 - p + p * (g + a) / ((n + a + b) * share)
-            raw = min(seen[f] / len(table), 1 - 1e-6)
-            total += math.log(ratio) - math.log((1 - min(ratio * raw, 1 - 1e-6)) / (1 - raw))
-        return total
+            yield f, 1 - p + p * (g + a) / ((n + a + b) * share)
+
+    absent = -sum(seen[f] / len(table) * (r - 1) for f, r in ratios(seen))
+
+    def weight(text):
+        return absent + sum(math.log(r) for _, r in ratios(set(quality.features(text).tolist())))
 
     held = collections.defaultdict(lambda: -math.inf)
     for i, t in table:
         if i in good and fold[i]:
-            held[i] = max(held[i], weight(t, 1))
+            held[i] = max(held[i], weight(t))
     values = sorted(set(held.values()))
     cuts = [values[0] - 1, *((x + y) / 2 for x, y in zip(values, values[1:])), values[-1] + 1]
     of = lambda kind, c: [w >= c for i, w in held.items() if good[i] == kind]
-    merit = [2 * sum(of(True, c)) / len(of(True, c)) - sum(of(False, c)) / len(of(False, c)) for c in cuts]
+    merit = [quality.CLEAN * sum(of(True, c)) / len(of(True, c)) - sum(of(False, c)) / len(of(False, c)) for c in cuts]
     threshold = cuts[max(range(len(cuts)), key=lambda k: merit[k])]
-    weights = [weight(t, 0) for _, t in table]
+    weights = [weight(t) for _, t in table]
     noise = [-math.log(-math.log((xxhash.xxh64_intdigest((t or "").encode(), 7) + 0.5) / 2**64)) for _, t in table]
     keys = [w + g for w, g in zip(weights, noise)]
     least = sorted(keys, reverse=True)[sum(w >= threshold for w in weights) - 1]
@@ -468,7 +469,7 @@ def test_quality_draw_by_brute_force(labelled, spark):
 
 def test_quality_draw_is_not_the_threshold():
     """Where weights lie close to the threshold some below it are drawn and some above are not."""
-    model = quality.Model(np.zeros(quality.TABLE), 0.0)
+    model = quality.Model(np.zeros(quality.TABLE), 0.0, 0.0)
     r = random.Random(4)
     weights = [r.gauss(0, 1) for _ in range(400)]
     keys = [model.key(f"text {k}", w) for k, w in enumerate(weights)]
