@@ -45,7 +45,7 @@ def counters(fx: DataFrame) -> DataFrame:
     """One row; unknown references count as actions too. Duplicates can't occur in feeds this plan is for."""
     n = lambda cond, name: F.count_if(F.expr(cond)).alias(name)
     return fx.agg(
-        n("type = 'A'", "adds"), n("type IN ('E', 'C')", "executes"), n("type = 'X'", "cancels"), n("type = 'D'", "deletes"), n("type = 'U'", "replaces"), n("outcome = 'unknown'", "unknown_ref"), n("outcome = 'overfill'", "overfill"),
+        n("type IN ('A', 'F')", "adds"), n("type IN ('E', 'C')", "executes"), n("type = 'X'", "cancels"), n("type = 'D'", "deletes"), n("type = 'U'", "replaces"), n("outcome = 'unknown'", "unknown_ref"), n("outcome = 'overfill'", "overfill"),
         (F.count_if(F.expr("outcome = 'add'")) - F.count_if(F.expr("outcome IN ('removed', 'overfill')"))).alias("live_orders"),
     )
 

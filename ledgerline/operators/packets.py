@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
 
 # Fixed values of the packet format.
 HEADER, PAYLOAD, MAX_COUNT, HEARTBEAT, END = 20, 1400, 65534, 0, 65535
@@ -125,10 +125,22 @@ def udp_payload(frame: bytes) -> tuple[str, int, bytes] | None:
     size = (frame[at] & 15) * 4
     total = int.from_bytes(frame[at + 2 : at + 4], "big")
     fragment = int.from_bytes(frame[at + 6 : at + 8], "big") & 0x3FFF
-    if size < 20 or frame[at + 9] != 17 or fragment or total < size + 8 or len(frame) < at + size + 8:
+    if size < 20 or frame[at + 9] != 17 or fragment or total < size + 8 or len(frame) < at + total:
         return None
     udp = at + size
     n = int.from_bytes(frame[udp + 4 : udp + 6], "big")
-    if n < 8 or len(frame) < udp + n:
+    if n < 8 or size + n > total:
         return None
     return ".".join(map(str, frame[at + 16 : at + 20])), int.from_bytes(frame[udp + 2 : udp + 4], "big"), frame[udp + 8 : udp + n]
+
+
+@F.pandas_udf(StructType([StructField("dst_ip", StringType()), StructField("dst_port", IntegerType()), StructField("payload", BinaryType())]))
+def parsed_frame(frame: pd.Series) -> pd.DataFrame:
+    """``udp_payload`` of a column of frames; all three are null where a frame is refused."""
+    rows = [udp_payload(bytes(f)) if f is not None else None for f in frame]
+    return pd.DataFrame([r or (None, None, None) for r in rows], columns=["dst_ip", "dst_port", "payload"]).astype({"dst_port": "Int32"})
+
+
+def line_of(port: Column, ports: dict[int, int]) -> Column:
+    """The line that a destination port belongs to; null for others."""
+    return F.element_at(F.create_map(*(F.lit(x) for item in ports.items() for x in item)), port)

@@ -36,6 +36,25 @@ def suppress(snapshots: DataFrame, key: str, order: str, time: str, state: list[
     return likely.groupBy(key).applyInPandas(fold, ", ".join(f"`{c}` {kinds[c]}" for c in snapshots.columns) + ", publish_seq long")
 
 
+def top_snapshots(changes: DataFrame, every: int, last: int, n: int) -> DataFrame:
+    """``seq, locate, bids, asks``: the ``n`` best levels (price:shares:orders, best first) of each book with any at every ``every``-th message.
+
+    Changes are summed by stretch and level first; a level's state holds until its next stretch with a change, so
+    it is expanded over the marks between. Books are ranked by mark, so no task holds a whole book's history.
+    """
+    c = F.col
+    mark = F.ceil(c("seq") / every).cast("long") * every
+    moved = changes.groupBy("locate", "side", "price", mark.alias("mark")).agg(F.sum("d_orders").alias("o"), F.sum("d_shares").alias("s"))
+    w = Window.partitionBy("locate", "side", "price").orderBy("mark")
+    held = moved.select("locate", "side", "price", "mark", F.sum("o").over(w).alias("orders"), F.sum("s").over(w).alias("shares"), F.lead("mark").over(w).alias("until")).where("orders > 0")
+    upto = F.least(F.coalesce(c("until") - every, F.lit(last)), F.lit(last))
+    state = held.where(c("mark") <= upto).withColumn("seq", F.explode(F.sequence("mark", upto, F.lit(every).cast("long")))).where(c("seq") <= last)
+    best = F.when(c("side") == "B", -c("price")).otherwise(c("price"))
+    top = state.withColumn("rank", F.row_number().over(Window.partitionBy("seq", "locate", "side").orderBy(best))).where(c("rank") <= n)
+    text = lambda side: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c("side") == side, F.struct("rank", F.concat_ws(":", "price", "shares", "orders").alias("t"))))), lambda x: x["t"]), ",")
+    return top.groupBy("seq", "locate").agg(text("B").alias("bids"), text("S").alias("asks"))
+
+
 def subscriber_summary(received: DataFrame, topic: str, number: str, latency: str) -> DataFrame:
     """By topic: received, missed between neighbours, mean, median and 99th latency (element floor(.99 n), at most the last)."""
     w = Window.partitionBy(topic)

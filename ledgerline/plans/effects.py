@@ -23,7 +23,7 @@ def effects(msgs: DataFrame) -> DataFrame:
     root = Window.partitionBy("root")
     before = root.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     c = F.col
-    add = c("type") == "A"
+    add = c("type").isin("A", "F")
     first = F.when(add, c("seq"))
     df = msgs.withColumns({"add_seq": F.min(first).over(root), "own_side": F.max(F.when(add, c("side"))).over(root), "own_locate": F.max(F.when(add, c("locate"))).over(root)})
     df = df.withColumn("early", ~add & (c("add_seq").isNull() | (c("seq") < c("add_seq"))))

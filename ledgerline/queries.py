@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,24 +10,14 @@ from ledgerline.operators.fold import locate_digests
 from ledgerline.plans.adapter import MESSAGES_SQL, PACKETS_SQL, directory, line_packets, messages
 from ledgerline.plans.effects import EFFECTS_SQL, deltas, effects, staged_effects
 from ledgerline.plans.stage import staged
+from ledgerline.registry import ORACLES, QUERIES, query  # noqa: F401
+from ledgerline.sources.feed import LEAST
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 KNOWN = ("A", "E", "C", "X", "D", "U")
 #: Checkpoints every so many messages; snapshots every so many.
 EVERY, SNAPSHOT_EVERY = 8192, 1000
 QUANTILES = [0.5, 0.9, 0.99, 0.999]
-LENGTHS = {"A": 36, "E": 31, "C": 36, "X": 23, "D": 19, "U": 35}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+LENGTHS = {k: LEAST[k] for k in KNOWN}
 
 
 def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +44,7 @@ def message_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.withColumn("share_millionths", F.floor(F.col("n") * 1000000 / F.sum("n").over(Window.partitionBy()))).orderBy(F.desc("n"), F.desc("type"))
 
 
-@query(f"WITH {MESSAGES_SQL} SELECT count(*) AS messages, sum(2 + CASE type WHEN 'A' THEN 36 WHEN 'E' THEN 31 WHEN 'C' THEN 36 WHEN 'X' THEN 23 WHEN 'D' THEN 19 ELSE 35 END)::BIGINT AS bytes, 0::BIGINT AS malformed, false AS truncated FROM msg")
+@query(f"WITH {MESSAGES_SQL} SELECT count(*) AS messages, sum(2 + CASE type WHEN 'A' THEN 36 WHEN 'E' THEN 31 WHEN 'C' THEN 36 WHEN 'X' THEN 23 WHEN 'D' THEN 19 ELSE 35 END)::BIGINT AS bytes, count(*) FILTER (type NOT IN ('A', 'E', 'C', 'X', 'D', 'U')) AS malformed, coalesce(bool_or(type NOT IN ('A', 'E', 'C', 'X', 'D', 'U')), false) AS truncated FROM msg")
 def parse_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.element_at(F.create_map(*(F.lit(x) for item in LENGTHS.items() for x in item)), F.col("type"))
     return messages(spark, sf_dir).agg(F.count("*").alias("messages"), F.sum(size + 2).alias("bytes"), F.count_if(size.isNull()).alias("malformed"), F.coalesce(F.bool_or(size.isNull()), F.lit(False)).alias("truncated"))
@@ -90,7 +78,7 @@ def sampled_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).where("(seq * 2654435761L % 4294967296L) div 65536 % 16 = 0").groupBy("type").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
-@query(f"WITH {MESSAGES_SQL} SELECT seq, (seq - 1) * 1000000000 // 2000000 AS constant_ns, (ts_us - (SELECT ts_us FROM msg WHERE seq = 1)) * 1000 // 5000000 AS scaled_ns FROM msg")
+@query(f"WITH {MESSAGES_SQL} SELECT seq, (seq - 1) * 1000000000 // 2000000 AS constant_ns, (ts_us - first_value(ts_us) OVER (ORDER BY seq)) * 1000 // 5000000 AS scaled_ns FROM msg")
 def pace_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each message is due at 2 million a second, and at the feed's own pace sped up."""
     m = messages(spark, sf_dir)
@@ -193,12 +181,18 @@ def order_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.order_walk(_live(spark, sf_dir)).select("place", "root", "locate", "side", "price", "shares")
 
 
-@query("SELECT unnest(['levels_match_orders', 'order_without_shares', 'empty_level_kept']) AS check, 0::BIGINT AS violations")
+_REBUILT = "rebuilt AS (SELECT locate, side, price, count(*) AS orders, sum(shares)::BIGINT AS shares FROM live GROUP BY ALL)"
+_BOTH = "both_ AS (SELECT a.orders AS ao, a.shares AS ash, b.orders AS bo, b.shares AS bsh FROM lv a FULL JOIN rebuilt b USING (locate, side, price))"
+_DIFFER = "count(*) FILTER (ao IS DISTINCT FROM bo OR ash IS DISTINCT FROM bsh)"
+
+
+@query(f"""WITH {EFFECTS_SQL}, {_LEVELS}, {_LIVE}, {_REBUILT}, {_BOTH} SELECT 'levels_match_orders' AS check, {_DIFFER} AS violations FROM both_
+UNION ALL SELECT 'order_without_shares', count(*) FROM live WHERE shares <= 0 UNION ALL SELECT 'empty_level_kept', count(*) FROM lv WHERE orders <= 0 OR shares <= 0""")
 def invariant_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.invariants(_live(spark, sf_dir), final_levels(spark, sf_dir))
 
 
-@query(f"WITH {EFFECTS_SQL}, {_LEVELS} SELECT count(*) AS levels, 0::BIGINT AS differing, true AS equal FROM lv")
+@query(f"WITH {EFFECTS_SQL}, {_LEVELS}, {_LIVE}, {_REBUILT}, {_BOTH} SELECT count(*) AS levels, {_DIFFER} AS differing, {_DIFFER} = 0 AS equal FROM both_")
 def books_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels summed from changes against levels rebuilt from the live orders."""
     rebuilt = _live(spark, sf_dir).groupBy(*book.LEVEL).agg(F.count("*").alias("orders"), F.sum("shares").alias("shares"))
@@ -208,8 +202,8 @@ def books_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count("*").alias("levels"), wrong.alias("differing"), (wrong == 0).alias("equal"))
 
 
-def _hash_sql() -> str:
-    """The level hash spelled out over named steps, as DuckDB has no macros inside a query."""
+def hash_sql(shift: int = 0) -> str:
+    """Book hashes at checkpoints of sequences moved by ``shift``; the level hash is spelled out over named steps, as DuckDB has no macros inside a query."""
     w = "18446744073709551616::UHUGEINT"
 
     def steps(source: str, column: str, out: str, n: int) -> str:
@@ -220,15 +214,15 @@ def _hash_sql() -> str:
             f"h{n}d AS (SELECT *, xor(x{n}c, x{n}c // 2147483648::UHUGEINT) AS {out} FROM h{n}c)"
         )
 
-    state = """marks AS (SELECT DISTINCT ceil(seq / {e})::BIGINT * {e} AS mark FROM delta),
-st AS (SELECT mark, locate, side, price, sum(d_orders)::BIGINT AS orders, sum(d_shares)::BIGINT AS shares FROM delta JOIN marks ON seq <= mark GROUP BY ALL HAVING sum(d_orders) > 0),
-k0 AS (SELECT *, locate::UHUGEINT * 1099511627776::UHUGEINT + ascii(side)::UHUGEINT * 4294967296::UHUGEINT + price::UHUGEINT AS k FROM st)""".replace("{e}", str(EVERY))
+    state = """marks AS (SELECT DISTINCT ceil((seq + {s}) / {e})::BIGINT * {e} AS mark FROM delta),
+st AS (SELECT mark, locate, side, price, sum(d_orders)::BIGINT AS orders, sum(d_shares)::BIGINT AS shares FROM delta JOIN marks ON seq + {s} <= mark GROUP BY ALL HAVING sum(d_orders) > 0),
+k0 AS (SELECT *, locate::UHUGEINT * 1099511627776::UHUGEINT + ascii(side)::UHUGEINT * 4294967296::UHUGEINT + price::UHUGEINT AS k FROM st)""".replace("{e}", str(EVERY)).replace("{s}", str(shift))
     middle = f"k1 AS (SELECT *, xor(xor(where_hash, (shares::UHUGEINT * 2685821657736338717::UHUGEINT) % {w}), (orders::UHUGEINT * 281474976710656::UHUGEINT) % {w}) AS k2 FROM h1d)"
     last = f"SELECT mark AS book_msgs, lpad(lower(hex((sum(level_hash::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT)), 16, '0') AS book_hash FROM h2d GROUP BY mark"
     return f"WITH {EFFECTS_SQL}, {state}, {steps('k0', 'k', 'where_hash', 1)}, {middle}, {steps('k1', 'k2', 'level_hash', 2)} {last}"
 
 
-@query(_hash_sql())
+@query(hash_sql())
 def level_hash_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.book_hashes(_deltas(spark, sf_dir), EVERY)
 
@@ -239,21 +233,23 @@ def digest_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate_digests(messages(spark, sf_dir), staged_effects(spark, sf_dir), EVERY)
 
 
-_SNAP = f"""{EFFECTS_SQL}, after AS (SELECT seq, sub, locate, side, price, sum(d_orders) OVER w AS orders, sum(d_shares) OVER w AS shares FROM delta WINDOW w AS (PARTITION BY locate, side, price ORDER BY seq, sub)),
-snap AS (SELECT seq, locate, side, price, orders::BIGINT AS orders, shares::BIGINT AS shares, coalesce(lag(price || ':' || orders || ':' || shares) OVER (PARTITION BY locate, side ORDER BY seq, sub) <> price || ':' || orders || ':' || shares, true) AS changed FROM after WHERE seq % {SNAPSHOT_EVERY} < 10)"""
+_SNAP = f"""{EFFECTS_SQL}, marks AS (SELECT unnest(generate_series({SNAPSHOT_EVERY}, (SELECT max(seq) FROM msg), {SNAPSHOT_EVERY})) AS mark),
+moved AS (SELECT (seq + {SNAPSHOT_EVERY} - 1) // {SNAPSHOT_EVERY} * {SNAPSHOT_EVERY} AS mark, locate, side, price, sum(d_orders) AS o, sum(d_shares) AS s FROM delta GROUP BY ALL),
+held AS (SELECT mark, locate, side, price, sum(o) OVER w AS orders, sum(s) OVER w AS shares, lead(mark) OVER w AS until FROM moved WINDOW w AS (PARTITION BY locate, side, price ORDER BY mark)),
+state AS (SELECT m.mark, h.locate, h.side, h.price, h.orders::BIGINT AS orders, h.shares::BIGINT AS shares FROM marks m JOIN held h ON h.mark <= m.mark AND (h.until IS NULL OR h.until > m.mark) WHERE h.orders > 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY mark, locate, side ORDER BY CASE side WHEN 'B' THEN -price ELSE price END) AS rank FROM state),
+snap AS (SELECT mark, locate, coalesce(string_agg(price || ':' || shares || ':' || orders, ',' ORDER BY rank) FILTER (side = 'B'), '') AS bids, coalesce(string_agg(price || ':' || shares || ':' || orders, ',' ORDER BY rank) FILTER (side = 'S'), '') AS asks FROM top WHERE rank <= 5 GROUP BY mark, locate)"""
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    after = book.levels_after_each(_deltas(spark, sf_dir)).where(F.col("seq") % SNAPSHOT_EVERY < 10)
-    state = F.struct("price", "orders", "shares")
-    before = F.lag(state).over(Window.partitionBy("locate", "side").orderBy("seq", "sub"))
-    return after.withColumn("changed", before.isNull() | ~before.eqNullSafe(state))
+    return publish.top_snapshots(_deltas(spark, sf_dir), SNAPSHOT_EVERY, messages(spark, sf_dir).agg(F.max("seq")).first()[0] or 0, 5)
 
 
-@query(f"WITH {_SNAP} SELECT seq, locate, side, price, orders, shares, changed FROM snap")
+@query(f"WITH {_SNAP} SELECT mark AS seq, locate, bids, asks, (lag(bids || '/' || asks) OVER (PARTITION BY locate ORDER BY mark)) IS DISTINCT FROM bids || '/' || asks AS changed FROM snap")
 def published_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The touched level after a few messages in every thousand, and whether it differs from the one published before."""
-    return _snapshots(spark, sf_dir).select("seq", "locate", "side", "price", "orders", "shares", "changed")
+    """The five best levels of each side of every book at every SNAPSHOT_EVERY-th message, and whether they differ from those before."""
+    before = F.lag(F.concat_ws("/", "bids", "asks")).over(Window.partitionBy("locate").orderBy("seq"))
+    return _snapshots(spark, sf_dir).withColumn("changed", ~before.eqNullSafe(F.concat_ws("/", "bids", "asks"))).select("seq", "locate", "bids", "asks", "changed")
 
 
 @query("SELECT user_id, count(*) AS received, coalesce(sum(gap), 0)::BIGINT AS missed FROM (SELECT user_id, event_id // 50 - lag(event_id // 50) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS gap FROM events) WHERE gap IS NULL OR gap >= 0 GROUP BY user_id")
@@ -395,12 +391,12 @@ def feed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.groupBy("type").agg(F.count("*").alias("n"), F.coalesce(F.sum("shares"), F.lit(0)).alias("shares"), F.coalesce(F.sum("price"), F.lit(0)).alias("price"), F.count("new_ref").alias("new_refs"), F.count_if(F.col("side") == "B").alias("bids"))
 
 
-@query(f"WITH {MESSAGES_SQL} SELECT a.seq, i.seq AS index_seq, a.seq - i.seq AS steps, i.ts_us AS index_ts_us FROM msg a JOIN msg i ON (a.seq - 1) // 64 = (i.seq - 1) // 64 AND (i.seq - 1) % 64 = 0 WHERE a.seq % 997 = 0")
+@query(f"WITH {MESSAGES_SQL} SELECT seq, first_value(seq) OVER w AS index_seq, seq - first_value(seq) OVER w AS steps, first_value(ts_us) OVER w AS index_ts_us FROM msg WINDOW w AS (PARTITION BY (seq - 1) // 64 ORDER BY seq)")
 def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entry of a sparse index (one in 64) that each asked sequence starts from: an equi-join on the slot."""
+    """The entry of a sparse index (one in 64) that each sequence starts from: an equi-join on the slot."""
     m, slot = messages(spark, sf_dir), F.expr("(seq - 1) div 64").alias("slot")
     index = m.where("(seq - 1) % 64 = 0").select(slot, F.col("seq").alias("index_seq"), F.col("ts_us").alias("index_ts_us"))
-    return m.where("seq % 997 = 0").select("seq", slot).join(index, "slot").select("seq", "index_seq", (F.col("seq") - F.col("index_seq")).alias("steps"), "index_ts_us")
+    return m.select("seq", slot).join(index, "slot").select("seq", "index_seq", (F.col("seq") - F.col("index_seq")).alias("steps"), "index_ts_us")
 
 
 @query("SELECT n_name AS symbol, min(n_nationkey + 1)::INT AS locate FROM nation GROUP BY n_name")
@@ -436,9 +432,21 @@ def subscriber_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.subscriber_summary(received, "event_type", "event_id", "ns")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EFFECTS_SQL}, after_ AS (SELECT seq, sub, locate || ':' || side || ':' || price AS level, sum(d_orders) OVER w AS orders, sum(d_shares) OVER w AS shares FROM delta WINDOW w AS (PARTITION BY locate, side, price ORDER BY seq, sub)),
+rows_ AS (SELECT level, seq, max(orders)::BIGINT AS orders, max(shares)::BIGINT AS shares FROM after_ GROUP BY ALL),
+numbered_ AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY seq) AS n FROM rows_),
+walk AS (
+  SELECT level, n, seq, orders, shares, seq AS sent_seq, orders AS sent_orders, shares AS sent_shares, true AS sent FROM numbered_ WHERE n = 1
+  UNION ALL
+  SELECT r.level, r.n, r.seq, r.orders, r.shares, CASE WHEN t.go THEN r.seq ELSE w.sent_seq END, CASE WHEN t.go THEN r.orders ELSE w.sent_orders END, CASE WHEN t.go THEN r.shares ELSE w.sent_shares END, t.go
+  FROM walk w JOIN numbered_ r ON r.level = w.level AND r.n = w.n + 1, LATERAL (SELECT r.orders <> w.sent_orders OR r.shares <> w.sent_shares OR r.seq - w.sent_seq >= 20000 AS go) t
+) SELECT level, seq, orders, shares, row_number() OVER (PARTITION BY level ORDER BY seq) AS publish_seq FROM walk WHERE sent""")
 def suppressed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level snapshots that differ from the one sent last for their level, or come 20,000 messages after it."""
     after = book.levels_after_each(_deltas(spark, sf_dir))
     key = F.concat_ws(":", "locate", "side", "price")
     return publish.suppress(after.select(key.alias("level"), "seq", "orders", "shares").groupBy("level", "seq").agg(F.max("orders").alias("orders"), F.max("shares").alias("shares")), "level", "seq", "seq", ["orders", "shares"], 20_000)
+
+
+# The queries of the other modules register themselves.
+from ledgerline import queries_feed, queries_net, queries_reports  # noqa: E402, F401

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import astuple, dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -237,5 +237,32 @@ class ArbiterProcessor(StatefulProcessor):
 
 
 def arbitrate(packets: DataFrame, most: int | None = None, window: int | None = None, recovery: Recovery | None = None) -> DataFrame:
-    """Works on streams and on tables alike; needs the RocksDB state store for streams."""
+    """Rows of OUTPUT from a stream of packets; needs the RocksDB state store."""
     return packets.withColumnRenamed("count", "count_").groupBy("session").transformWithStateInPandas(ArbiterProcessor(most, window, recovery), OUTPUT, "Append", "None")
+
+
+def _play(pdf: pd.DataFrame, most: int | None, window: int | None, recovery: Recovery | None = None) -> Arbiter:
+    arbiter = Arbiter({}, most=most, window=window, recovery=replace(recovery) if recovery else None)
+    for r in pdf.sort_values(["arrival", "line", "seq"], kind="stable").itertuples():
+        arbiter.packet(r.session, int(r.line), int(r.arrival), int(r.seq), int(r.count_), r.bodies if r.bodies is not None else [])
+    return arbiter
+
+
+def merged(packets: DataFrame, most: int | None = None, window: int | None = None, recovery: Recovery | None = None) -> DataFrame:
+    """Rows of OUTPUT from a table of packets; a session is one group."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pd.DataFrame(_play(pdf, most, window, recovery).out, columns=["kind", "session", "seq", "upto", "line", "arrival", "body", "cause"])
+        return rows.astype({"line": "Int32"})
+
+    return packets.withColumnRenamed("count", "count_").groupBy("session").applyInPandas(fold, OUTPUT)
+
+
+def counted(packets: DataFrame, most: int | None = None, window: int | None = None) -> DataFrame:
+    """``session`` and the COUNTERS of a table of packets, one row a session."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"session": pdf.session.iloc[0], **_play(pdf, most, window).count}])
+
+    schema = "session string, " + ", ".join(f"{c} long" for c in COUNTERS)
+    return packets.withColumnRenamed("count", "count_").groupBy("session").applyInPandas(fold, schema)
