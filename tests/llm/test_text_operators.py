@@ -219,6 +219,17 @@ def test_lm_counts_and_base_scores(docs, no_docs, monkeypatch):
     assert lm_scoring.score(no_docs).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_packing(spark, docs, monkeypatch):
+    monkeypatch.setattr(blocks, "KEYS_PER_BUCKET", 200)
+    table = [(i, prose(700 + i % 17, 80) + " " + prose(800 + i, 20)) for i in range(120)] + [(r[0], r[1]) for r in rows()]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    found = []
+    for chars, parts in ((1 << 20, 1), (900, 3), (20_000, 7)):
+        monkeypatch.setattr(lm_scoring, "BLOCK_CHARS", chars)
+        found.append(sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scoring.score(df.repartition(parts)).collect()), key=repr))
+    assert found[0] == found[1] == found[2]
+
+
 def test_lm_without_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = lm_scoring.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
