@@ -14,7 +14,9 @@ what is alone in its group leaves. The digits are wide, and the first one is rea
 
 Each pass sends the distinct digits of a block of documents to even buckets by their hashes and gets a
 code for each back, so a passage that a third of all rows hold arrives at most once a block, and no group
-is ever gathered. Digits are compared as 64-bit hashes from two independent tables (anchor, content).
+is ever gathered. Digits are compared by hashes from two independent tables: runs by 128 bits (anchor, content),
+windows by 96 (content, and 32 of the other table's), so among 10^12 windows a false repeat is to be expected
+once in 10^5 runs.
 
 Cases: matches stay within a text; a null or empty text, and one shorter than WINDOW, loses nothing;
 repeated rows lose everything if they are long enough; null ids are kept; extra columns are dropped; an
@@ -41,10 +43,13 @@ from ledgerline.llm.common import cut, shared_dir, table, utf8
 
 WINDOW, GRAM = 200, 100
 BLOCK_CHARS = 1 << 20
+#: What is shuffled by block is small, the texts read from files are not, so tasks are counted by blocks.
+BLOCKS_A_TASK = 8
 _NEAR = WINDOW - GRAM + 1
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _ANCHOR, _CONTENT = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+_DIGIT = np.dtype([("a", np.uint64), ("s", np.uint32)])
 # Codes of a run's anchor and string.
 ALONE, REPEATED, OPEN, OPEN_REPEATED = 0, 1, 2, 3
 _TIED = 4
@@ -102,7 +107,7 @@ class Texts:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_ANCHOR[self.raw] * up, out=sums[1:])
         grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * self.back[: n - GRAM + 1])
-        del sums
+        self.more = sums
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_CONTENT[self.raw] * up, out=self.sums[1:])
         least = _sliding(grams, _NEAR, np.minimum)
@@ -132,6 +137,14 @@ class Texts:
     def hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.back[start]
 
+    def windows(self, start: np.ndarray) -> np.ndarray:
+        """The digits of windows: 64 bits of one hash and 32 of the other, which sort by the first."""
+        out = np.empty(len(start), _DIGIT)
+        if len(start):
+            out["a"] = _mixed(self.hashed(start, start + WINDOW))
+            out["s"] = _mixed((self.more[start + WINDOW] - self.more[start]) * self.back[start]) >> np.uint64(32)
+        return out
+
     def digits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (anchor, string) in order, and how often each is here (2: or more), with the tied mark."""
         order = np.lexsort((self.string, self.anchor))
@@ -227,13 +240,13 @@ _ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("a", pa.binary
 _ASKED = "bucket int, block long, a binary, s binary, n binary"
 
 
-def _split(block: int, a: np.ndarray, s: np.ndarray, n: np.ndarray, buckets: int):
+def _split(block: int, a: np.ndarray, s: np.ndarray, n: np.ndarray, buckets: int, kind: type = np.uint64):
     """The part of a block's sorted digits that belongs to each bucket."""
     at = edges(a, buckets)
     for b in range(buckets):
         x, y = at[b], at[b + 1]
         if x < y:
-            yield pa.RecordBatch.from_pydict({"bucket": [b], "block": [block], "a": [pack(a[x:y], np.uint64)], "s": [pack(s[x:y], np.uint64) if len(s) else b""], "n": [pack(n[x:y], np.uint8)]}, schema=_ASK)
+            yield pa.RecordBatch.from_pydict({"bucket": [b], "block": [block], "a": [pack(a[x:y], np.uint64)], "s": [pack(s[x:y], kind)], "n": [pack(n[x:y], np.uint8)]}, schema=_ASK)
 
 
 def _ask(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -275,11 +288,22 @@ def judge_runs(pdf: pd.DataFrame) -> pd.DataFrame:
 def judge_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     """Third digit: whether each window occurs twice."""
     keys = [unpack(x, np.uint64) for x in pdf.a]
-    _, which = np.unique(np.concatenate(keys), return_inverse=True)
+    a, s = np.concatenate(keys), np.concatenate([unpack(x, np.uint32) for x in pdf.s])
+    which, _ = _kinds(a, s)
     n = np.bincount(which, weights=np.concatenate([unpack(x, np.uint8) for x in pdf.n]))
     return _answers(pdf, (n > 1)[which].astype(np.uint8), [len(x) for x in keys])
 
 
+def _kinds(a: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the distinct (a, s), in order, each is, and where the first of each is."""
+    order = np.lexsort((s, a))
+    x, y = a[order], s[order]
+    fresh = np.concatenate((np.ones(min(1, len(x)), bool), (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return which, order[fresh]
+
+
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -298,8 +322,9 @@ def _pieces(rows: pa.Table) -> tuple[dict, np.ndarray, np.ndarray]:
 def _open_windows(texts: Texts, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows of open runs, their distinct digits in order, which digit each has, and how often each is here."""
     at = _spread(texts.first[codes >= OPEN], texts.last[codes >= OPEN])
-    hashes = _mixed(texts.hashed(at, at + WINDOW)) if len(at) else np.zeros(0, np.uint64)
-    return at, *np.unique(hashes, return_inverse=True, return_counts=True)
+    digits = texts.windows(at)
+    which, first = _kinds(digits["a"], digits["s"])
+    return at, digits[first], which, np.bincount(which, minlength=len(first))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -307,7 +332,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     folder = f"{shared_dir(docs.sparkSession)}/suffixes-{uuid.uuid4().hex}"
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     blocks = cut(store_blocks(texts, folder))
-    buckets = bucket_count(blocks.agg(F.sum("n_keys")).first()[0] or 0)
+    n_keys, n_blocks = blocks.agg(F.sum("n_keys"), F.count("*")).first()
+    buckets, parts = bucket_count(n_keys or 0), -(-n_blocks // BLOCKS_A_TASK) or 1
     answer = "bucket int, block long, codes binary"
     runs = cut(_ask(blocks, buckets).groupBy("bucket").applyInPandas(judge_runs, answer))
     none = F.lit(None)
@@ -322,7 +348,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             return _ASK.empty_table()
         t = Texts(Stored(folder)(place)[1])
         _, keys, _, times = _open_windows(t, t.codes(*t.digits()[:2], codes))
-        return pa.Table.from_batches(_split(place["block"], keys, keys[:0], np.minimum(times, 2).astype(np.uint8), finer), schema=_ASK)
+        return pa.Table.from_batches(_split(place["block"], keys["a"], keys["s"], np.minimum(times, 2).astype(np.uint8), finer, np.uint32), schema=_ASK)
 
     def finish(rows: pa.Table) -> pa.Table:
         place, codes, found = _pieces(rows)
@@ -337,8 +363,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pa.Table.from_pydict(t.results(ids, windows, np.ones(len(ids), bool)), schema=_RESULT_ARROW)
 
     known = places.unionByName(coded(runs, 1))
-    windows = cut(known.groupBy("block").applyInArrow(ask_windows, _ASKED).groupBy("bucket").applyInPandas(judge_windows, answer))
-    return known.unionByName(coded(windows, 2)).groupBy("block").applyInArrow(finish, _RESULT)
+    windows = cut(known.repartition(parts, "block").groupBy("block").applyInArrow(ask_windows, _ASKED).groupBy("bucket").applyInPandas(judge_windows, answer))
+    return known.unionByName(coded(windows, 2)).repartition(parts, "block").groupBy("block").applyInArrow(finish, _RESULT)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
