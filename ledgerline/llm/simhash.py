@@ -192,9 +192,9 @@ def _slot_ranks(marked: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """``word, id, size, place``: the prefix of every set, each shingle's place in the order, and the set's size."""
+    """``word, id, at``: the prefix of every set; ``at`` packs the set's size and, in its lower half, the shingle's place in the order."""
     held = docs.sparkSession.sparkContext.broadcast(ranks)
-    schema = pa.schema([("word", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+    schema = pa.schema([("word", pa.int64()), ("id", pa.int64()), ("at", pa.int64())])
 
     def run(batches):
         done = set()
@@ -205,12 +205,10 @@ def _prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
             done.update(sets)
             parts = [prefix(x, held.value) for x in sets.values()]
             n = [len(x) for x in parts]
-            yield pa.RecordBatch.from_pydict(
-                {"word": np.concatenate(parts).view(np.int64), "id": np.repeat(_signed(list(sets)), n), "size": np.repeat([len(x) for x in sets.values()], n).astype(np.int32), "place": np.concatenate([np.arange(k, dtype=np.int32) for k in n])},
-                schema=schema,
-            )
+            at = np.concatenate([(len(x) << 32) + np.arange(k, dtype=np.int64) for x, k in zip(sets.values(), n)])
+            yield pa.RecordBatch.from_pydict({"word": np.concatenate(parts).view(np.int64), "id": np.repeat(_signed(list(sets)), n), "at": at}, schema=schema)
 
-    return docs.mapInArrow(run, "word long, id long, size int, place int")
+    return docs.mapInArrow(run, "word long, id long, at long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -249,6 +247,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 _FIT = f"{SIMILAR[1]} * least(m, n) >= {SIMILAR[0]} * greatest(m, n)"
 #: Whether a shingle at places i and j of sets of sizes m and n can be the first that they share: so many must follow it.
 _FIRST = f"ceil({SIMILAR[0]} * (m + n) / {sum(SIMILAR)}) <= least(m - i, n - j)"
+#: Whether k shingles shared within the prefixes are enough: no more can be shared than the longer of what lies beyond them.
+_REST = f"ceil({SIMILAR[0]} * %s / {SIMILAR[1]}) - 1"
+_ENOUGH = f"k >= ceil({SIMILAR[0]} * (m + n) / {sum(SIMILAR)}) - greatest({_REST % 'm'}, {_REST % 'n'})"
 
 
 def _judged(pairs: DataFrame, docs: DataFrame) -> DataFrame | None:
@@ -269,11 +270,13 @@ def _balls(classes: DataFrame) -> DataFrame:
 
 
 def _buckets(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """``word, id, size, place, head``: sets with a common shingle in their prefixes; of buckets with the same members the first in the order."""
+    """``word, id, size, place, head, weight``: sets with a common shingle in their prefixes; of buckets with the same members the first in the order, which weighs their number."""
     at_word = Window.partitionBy("word")
-    met = _prefixes(docs, ranks).repartition("word").distinct().select("word", "id", "size", "place", F.count("*").over(at_word).alias("n"), F.bit_xor(F.xxhash64("id")).over(at_word).alias("who"), F.min(F.struct("place", "id", "size")).over(at_word).alias("head"))
+    size, place = F.shiftright("at", 32).cast("int").alias("size"), F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("place")
+    rows = _prefixes(docs, ranks).repartition("word").distinct()
+    met = rows.select("word", "id", size, place, F.count("*").over(at_word).alias("n"), F.bit_xor(F.xxhash64("id")).over(at_word).alias("who"), F.min(F.struct(place, F.col("id"), size)).over(at_word).alias("head"))
     met = cut(met.where("n > 1"))
-    alike = met.where("id = head.id").groupBy("n", "who").agg(F.min_by("word", "place").alias("word")).select("word")
+    alike = met.where("id = head.id").groupBy("n", "who").agg(F.min_by("word", "place").alias("word"), F.count("*").alias("weight")).select("word", "weight")
     return cut(met.select("word", "id", "size", "place", "head").join(alike, "word"))
 
 
@@ -281,21 +284,21 @@ def _near_links(docs: DataFrame, classes: DataFrame, ranks: np.ndarray) -> DataF
     """``node, root`` of the components of all similar pairs.
 
     Judged first are the pairs of ball hashing, and every set with the head of a bucket with which it shares
-    most; a bucket's head is the set with the fewest rarer shingles, that is the nearest to what all have in common. Then, round by round, some members outside a bucket's largest component are judged with all members of
-    other components in all of their buckets, and leave, until one component is left in each. So each pair of
-    a bucket is judged or already in one component, and a group of copies costs about a pair a member. Of a pair's
-    common shingles only the first in the order has to bring it up, and it must have enough left behind it.
+    most; a bucket's head is the set with the fewest rarer shingles, that is the nearest to what all have in common. Then,
+    round by round, some members outside a bucket's largest component are judged with all members of other components in
+    all of their buckets, and leave, until one component is left in each. So each pair of a bucket is judged or already in one component, and a group of copies costs about a pair a member. Of a pair's
+    common shingles the first in the order must have enough left behind it, and enough must be within the prefixes.
     """
     met = _buckets(docs, ranks)
-    star = met.where("id <> head.id").select(F.col("head.id").alias("u"), F.col("head.size").alias("m"), F.col("head.place").alias("i"), F.col("id").alias("v"), F.col("size").alias("n"), F.col("place").alias("j"))
-    best = star.where(_FIT).where(_FIRST).groupBy("u", "m", "v", "n").agg(F.count("*").alias("k")).groupBy("v", "n").agg(F.max_by(F.struct("u", "m"), F.struct("k", "u")).alias("to")).select("to.u", "to.m", "v", "n")
+    star = met.where("id <> head.id").select(F.col("head.id").alias("u"), F.col("head.size").alias("m"), F.col("head.place").alias("i"), F.col("id").alias("v"), F.col("size").alias("n"), F.col("place").alias("j"), "weight")
+    best = star.where(_FIT).groupBy("u", "m", "v", "n").agg(F.sum("weight").alias("k")).where(_ENOUGH).groupBy("v", "n").agg(F.max_by(F.struct("u", "m"), F.struct("k", "u")).alias("to")).select("to.u", "to.m", "v", "n")
     linked = _judged(_balls(classes).unionByName(best), docs)
     if linked is None:
         linked = classes.sparkSession.createDataFrame([], "u long, v long")
     roots = cut_in_loop(connected_components(linked))
-    left, most = met.select("word", "id", "size", "place"), AT_ONCE
+    left, most = met.select("word", "id", "size", "place", "weight"), AT_ONCE
     while True:
-        named = left.join(roots, left.id == roots.node, "left").select("word", "id", "size", "place", F.coalesce("root", "id").alias("root"))
+        named = left.join(roots, left.id == roots.node, "left").select("word", "id", "size", "place", "weight", F.coalesce("root", "id").alias("root"))
         by_root = cut_in_loop(named.groupBy("word", "root").agg(F.count("*").alias("n")))
         words = by_root.groupBy("word").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
         left = cut_in_loop(named.join(words.select("word", F.col("top.root").alias("top")), "word"))
@@ -303,15 +306,16 @@ def _near_links(docs: DataFrame, classes: DataFrame, ranks: np.ndarray) -> DataF
             return roots
         rank = F.row_number().over(Window.partitionBy("word").orderBy("place", "id"))
         now = cut_in_loop(left.where("root <> top").withColumn("rank", rank).where(f"rank <= {most}").select("id").distinct().withColumn("now", F.lit(True)))
-        held = cut_in_loop(left.join(now, "id", "left").select("word", "id", "size", "place", "root", "now"))
+        held = cut_in_loop(left.join(now, "id", "left").select("word", "id", "size", "place", "weight", "root", "now"))
         one = held.where("now").select("word", F.col("id").alias("u"), F.col("size").alias("m"), F.col("place").alias("i"), F.col("root").alias("own"))
-        two = held.select("word", F.col("id").alias("v"), F.col("size").alias("n"), F.col("place").alias("j"), "root", "now")
-        pairs = one.join(two, "word").where("own <> root AND (now IS NULL OR u < v)")
-        found = _judged(pairs.where(_FIRST), docs)
+        two = held.select("word", F.col("id").alias("v"), F.col("size").alias("n"), F.col("place").alias("j"), "weight", "root", "now")
+        met = one.join(two, "word").where("own <> root AND (now IS NULL OR u < v)").where(_FIT)
+        pairs = met.groupBy("u", "m", "v", "n").agg(F.sum("weight").alias("k"), F.bool_or(F.expr(_FIRST)).alias("first")).where("first")
+        found = _judged(pairs.where(_ENOUGH), docs)
         if found is not None and not found.isEmpty():
             linked = linked.unionByName(found)
             roots = cut_in_loop(connected_components(linked))
-        left = held.where("now IS NULL").select("word", "id", "size", "place")
+        left = held.where("now IS NULL").select("word", "id", "size", "place", "weight")
         most *= 4
 
 

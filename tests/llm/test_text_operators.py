@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerline.llm import blocks, bpe, decontaminate, flac, lm_scoring, quality, secrets, simhash, suffixes
+from ledgerline.llm import blocks, bpe, components, decontaminate, flac, lm_scoring, quality, secrets, simhash, suffixes
 from ledgerline.llm.components import connected_components
 
 from .conftest import SCHEMA, EXTRA, pairs, prose, rows
@@ -114,7 +114,9 @@ def test_simhash_links_all_within_two_bits(spark):
     assert groups(got) == groups(want)
 
 
-def test_components_of_a_long_path_and_a_star(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components_of_a_long_path_and_a_star(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(50)] + [(5, 5), (7, 6), (7, 6)]
     got = dict(pairs(connected_components(spark.createDataFrame(edges, "u long, v long")), "node", "root"))
     assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(50)}
