@@ -1,10 +1,12 @@
 """Operator 4: FLAC media columns.
 
-``encode`` writes a mono stream of 8-bit samples (or 16-bit, from numbers) with fixed predictors and
-partitioned Rice residuals; ``decode`` reads any mono FLAC stream without channel decorrelation:
+``encode`` writes a mono stream of samples of 8 to 24 bits, each block with the smallest of constant, verbatim, fixed and
+linear predictors (Levinson-Durbin on the block) and Rice residuals; ``decode`` reads any mono FLAC stream:
 constant, verbatim, fixed and LPC subframes, both Rice methods and escaped partitions. It verifies the
 header CRC-8 and frame CRC-16 of every frame and the MD5 of all samples, and returns PCM blocks with the
-sample offset of each, so a reader can seek. A SEEKTABLE holds the same offsets in the file.
+sample offset of each. ``seek`` goes by the SEEKTABLE and decodes from the nearest point on.
+
+A linear predictor runs sample by sample; the frames of many streams run in step, a sample of each at a time.
 
 Finding where Rice codes begin is a walk over a jump table (code start -> next code start); the table is
 composed with itself four times and the walk takes every sixteenth step, so numpy does most of the work.
@@ -32,6 +34,8 @@ UNIT, BLOCK, RATE = 576, 4608, 8000
 #: Samples between seek points.
 SEEK_EVERY = BLOCK * 4
 _PAD = 255
+#: Order of the predictors that are written, and their coefficients' shift and precision.
+ORDER, SHIFT, PRECISION = 4, 12, 15
 
 
 # --- checksums ------------------------------------------------------------------------------------
@@ -128,37 +132,71 @@ def _best_rice(residual: np.ndarray) -> tuple[int, int]:
     """(parameter, bits) of the cheapest single partition."""
     folded = np.where(residual < 0, -2 * residual - 1, 2 * residual)
     near = max(0, int(folded.mean() + 0.5).bit_length() - 1) if len(folded) else 0
-    return min(((k, int((folded >> k).sum()) + (1 + k) * len(folded)) for k in range(max(0, near - 1), min(14, near + 1) + 1)), key=lambda x: x[1])
+    return min(((k, int((folded >> k).sum()) + (1 + k) * len(folded)) for k in range(max(0, near - 1), min(30, near + 1) + 1)), key=lambda x: x[1])
+
+
+def _coded(residual: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """A residual as one partition; parameters above 14 need the method with five bits."""
+    wide = k > 14
+    return _field(wide << 4, 6), _field(k, 4 + wide), rice_bits(residual, k)
+
+
+def predictor(samples: np.ndarray, order: int) -> list[int] | None:
+    """Coefficients of the least-squares predictor of a block, scaled; None if there is none that can be coded."""
+    x, n = samples.astype(float), len(samples)
+    if n <= 2 * order:
+        return None
+    r = [float(x[: n - k] @ x[k:]) for k in range(order + 1)]
+    error, a = r[0], []
+    for i in range(order):
+        if error <= 0:
+            return None
+        k = (r[i + 1] - sum(c * r[i - j] for j, c in enumerate(a))) / error
+        a = [c - k * d for c, d in zip(a, reversed(a))] + [k]
+        error *= 1 - k * k
+    out = [round(c * (1 << SHIFT)) for c in a]
+    return out if all(abs(c) < 1 << (PRECISION - 1) for c in out) and any(out) else None
+
+
+def _linear(samples: np.ndarray, width: int, coefficients: list[int], shift: int) -> tuple[int, tuple]:
+    """(bits, (fields, residual, parameter)) of an LPC subframe."""
+    n, order = len(samples), len(coefficients)
+    guess = sum(c * samples[order - 1 - j : n - 1 - j] for j, c in enumerate(coefficients)) >> shift
+    residual = samples[order:] - guess
+    k, size = _best_rice(residual)
+    head = _field(0b01000000 | (order - 1) << 1, 8), _fields(samples[:order], width), _field(PRECISION - 1, 4), _field(shift, 5), _fields(np.array(coefficients), PRECISION)
+    return size + 27 + order * (width + PRECISION) + (k > 14), (head, residual, k)
 
 
 def _subframe(samples: np.ndarray, width: int, lpc: tuple[list[int], int] | None) -> np.ndarray:
     """Bits of the smallest subframe (or of an LPC one with the given coefficients and shift)."""
     n = len(samples)
-    if lpc is not None:
-        coefficients, shift = lpc
-        order = len(coefficients)
-        guess = sum(c * samples[order - 1 - j : n - 1 - j] for j, c in enumerate(coefficients)) >> shift
-        residual = samples[order:] - guess
-        k, _ = _best_rice(residual)
-        return np.concatenate((_field(0b01000000 | (order - 1) << 1, 8), _fields(samples[:order], width), _field(14, 4), _field(shift, 5), _fields(np.array(coefficients), 15), _field(0, 6), _field(k, 4), rice_bits(residual, k)))
-    if (samples == samples[0]).all():
+    if lpc is None and (samples == samples[0]).all():
         return np.concatenate((_field(0, 8), _fields(samples[:1], width)))
-    best, residual = (8 + width * n, -1, 0, None), samples
-    costs = []
-    for order in range(min(4, n - 1) + 1):
-        if order:
-            residual = np.diff(residual)
-        costs.append((int(np.abs(residual).sum()), order, residual))
-    _, order, residual = min(costs, key=lambda x: x[:2])
-    k, size = _best_rice(residual)
-    if (size := size + 8 + width * order + 10) < best[0]:
-        best = (size, order, k, residual)
-    if best[1] < 0:
-        return np.concatenate((_field(0b10, 8), _fields(samples, width)))
-    return np.concatenate((_field(0b10000 | order << 1, 8), _fields(samples[:order], width), _field(0, 6), _field(k, 4), rice_bits(residual, k)))
+    found = [_linear(samples, width, *lpc)] if lpc else []
+    if not found:
+        if c := predictor(samples, ORDER):
+            found.append(_linear(samples, width, c, SHIFT))
+        residual, costs = samples, []
+        for order in range(min(4, n - 1) + 1):
+            if order:
+                residual = np.diff(residual)
+            costs.append((int(np.abs(residual).sum()), order, residual))
+        _, order, residual = min(costs, key=lambda x: x[:2])
+        k, size = _best_rice(residual)
+        found.append((size + 18 + width * order + (k > 14), ((_field(0b10000 | order << 1, 8), _fields(samples[:order], width)), residual, k)))
+        found.append((8 + width * n, ((_field(0b10, 8), _fields(samples, width)), None, 0)))
+    head, residual, k = min(found, key=lambda x: x[0])[1]
+    return np.concatenate((*head, *(() if residual is None else _coded(residual, k))))
+
 
+_SIZE_CODES = {8: 1, 12: 2, 16: 4, 20: 5, 24: 6}
 
-_SIZE_CODES = {8: 1, 16: 4}
+
+def _pcm(samples: np.ndarray, width: int) -> bytes:
+    """Little-endian samples of as many whole bytes as the width needs, as the MD5 takes them."""
+    size = -(-width // 8)
+    return samples.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :size].tobytes()
 
 
 def encode(samples: np.ndarray, width: int = 8, block: int = BLOCK, lpc: tuple[list[int], int] | None = None) -> bytes:
@@ -174,9 +212,8 @@ def encode(samples: np.ndarray, width: int = 8, block: int = BLOCK, lpc: tuple[l
         sizes.append(len(frames[-1]))
     starts = np.concatenate(([0], np.cumsum(sizes))).tolist()
     points = [(at, starts[at // block], min(block, n - at)) for at in range(0, n, SEEK_EVERY) if at % block == 0]
-    pcm = samples.astype("<i2" if width == 16 else "i1").tobytes()
     info = struct.pack(">HH", block, block) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
-    info += (RATE << 44 | (width - 1) << 36 | n).to_bytes(8, "big") + hashlib.md5(pcm).digest()
+    info += (RATE << 44 | (width - 1) << 36 | n).to_bytes(8, "big") + hashlib.md5(_pcm(samples, width)).digest()
     seek = b"".join(struct.pack(">QQH", *p) for p in points)
     return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + b"".join(frames)
 
@@ -289,8 +326,35 @@ def _residual(bits: _Bits, n: int, order: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _restore(bits: _Bits, n: int, width: int) -> np.ndarray:
-    """The samples of one subframe."""
+class _Linear:
+    """An LPC subframe before its predictor has run."""
+
+    def __init__(self, start: np.ndarray, coefficients: list[int], shift: int, residual: np.ndarray, wasted: int) -> None:
+        self.start, self.coefficients, self.shift, self.residual, self.wasted = start, coefficients, shift, residual, wasted
+
+
+def _predicted(frames: list[_Linear]) -> list[np.ndarray]:
+    """Samples of LPC subframes. Those of one order run in step, longest first, so that the ones that end drop off."""
+    out: list = [None] * len(frames)
+    for order in {len(f.coefficients) for f in frames}:
+        own = sorted((k for k, f in enumerate(frames) if len(f.coefficients) == order), key=lambda k: -len(frames[k].residual))
+        sizes = np.array([len(frames[k].residual) for k in own])
+        x = np.zeros((order + sizes[0], len(own)), np.int64)
+        for column, k in enumerate(own):
+            x[:order, column] = frames[k].start
+            x[order : order + sizes[column], column] = frames[k].residual
+        c = np.array([frames[k].coefficients[::-1] for k in own], np.int64).T
+        shift = np.array([frames[k].shift for k in own], np.int64)
+        running = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left").tolist()  # longer than t
+        for t, n in enumerate(running):
+            x[t + order, :n] += (c[:, :n] * x[t : t + order, :n]).sum(axis=0) >> shift[:n]
+        for column, k in enumerate(own):
+            out[k] = x[: order + sizes[column], column] << frames[k].wasted
+    return out
+
+
+def _restore(bits: _Bits, n: int, width: int) -> np.ndarray | _Linear:
+    """The samples of one subframe, or what its predictor needs."""
     if bits.take(1):
         raise ValueError("a subframe doesn't begin with 0")
     kind, wasted = bits.take(6), 0
@@ -310,16 +374,12 @@ def _restore(bits: _Bits, n: int, width: int) -> np.ndarray:
         return out << wasted
     elif kind >= 32:
         order = kind - 31
-        out = np.empty(n, np.int64)
-        out[:order] = bits.many(order, width)
+        start = bits.many(order, width)
         precision, shift = bits.take(4) + 1, bits.signed(5)
         coefficients = [bits.signed(precision) for _ in range(order)]
         if precision == 16 or shift < 0:
             raise ValueError("a predictor's coding isn't known")
-        residual, past = _residual(bits, n, order).tolist(), out[:order].tolist()
-        for r in residual:
-            past.append(r + (sum(c * past[-1 - j] for j, c in enumerate(coefficients)) >> shift))
-        out = np.array(past, np.int64)
+        return _Linear(start, coefficients, shift, _residual(bits, n, order), wasted)
     else:
         raise ValueError("a subframe's type isn't known")
     return out << wasted
@@ -329,25 +389,31 @@ _BLOCKS = {1: 192, **{k: 576 << (k - 2) for k in range(2, 6)}, **{k: 256 << (k -
 _WIDTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
 
 
-def blocks(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """(sample offset, samples) of each frame, all checksums verified."""
-    if data[:4] != b"fLaC":
-        raise ValueError("not a FLAC stream")
-    at, last, info = 4, False, None
-    while not last:
-        last, kind, size = data[at] >> 7, data[at] & 127, int.from_bytes(data[at + 1 : at + 4], "big")
-        if kind == 0:
-            info = data[at + 4 : at + 4 + size]
-        at += 4 + size
-    if info is None:
-        raise ValueError("no stream information")
-    packed = int.from_bytes(info[10:18], "big")
-    width, total, md5 = (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, hashlib.md5()
-    if packed >> 41 & 7:
-        raise ValueError("more than one channel")
-    offset = 0
-    while offset < total:
-        start, bits = at, _Bits(data, at)
+class Stream:
+    """Where a stream's parts are: width and number of samples, their MD5, seek points, the first frame."""
+
+    def __init__(self, data: bytes) -> None:
+        if data[:4] != b"fLaC":
+            raise ValueError("not a FLAC stream")
+        at, last, info, self.points = 4, False, None, []
+        while not last:
+            last, kind, size = data[at] >> 7, data[at] & 127, int.from_bytes(data[at + 1 : at + 4], "big")
+            body = data[at + 4 : at + 4 + size]
+            if kind == 0:
+                info = body
+            elif kind == 3:
+                self.points = [p for p in struct.iter_unpack(">QQH", body) if p[0] != (1 << 64) - 1]
+            at += 4 + size
+        if info is None:
+            raise ValueError("no stream information")
+        packed = int.from_bytes(info[10:18], "big")
+        if packed >> 41 & 7:
+            raise ValueError("more than one channel")
+        self.data, self.first, self.width, self.total, self.md5 = data, at, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, info[18:34]
+
+    def frame(self, at: int) -> tuple[int, int, np.ndarray | _Linear]:
+        """(where the next begins, samples, content) of the frame at a place; its checksums are verified."""
+        data, bits = self.data, _Bits(self.data, at)
         if bits.take(15) != 0x7FFC:
             raise ValueError("a frame's sync code is missing")
         bits.take(1)
@@ -358,20 +424,47 @@ def blocks(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
         n = bits.take(8) + 1 if size == 6 else bits.take(16) + 1 if size == 7 else _BLOCKS.get(size, 0)
         bits.take({12: 8, 13: 16, 14: 16}.get(rate, 0))
         head = bits.at >> 3
-        if crc8(data[start:head]) != bits.take(8):
+        if crc8(data[at:head]) != bits.take(8):
             raise ValueError("a frame header's checksum is wrong")
         if channels or not n:
             raise ValueError("a frame's form isn't known")
-        samples = _restore(bits, n, _WIDTHS.get(depth, width))
-        at = (bits.at + 7) >> 3
-        if crc16(data[start:at]) != int.from_bytes(data[at : at + 2], "big"):
+        content = _restore(bits, n, _WIDTHS.get(depth, self.width))
+        end = (bits.at + 7) >> 3
+        if crc16(data[at:end]) != int.from_bytes(data[end : end + 2], "big"):
             raise ValueError("a frame's checksum is wrong")
-        at += 2
-        md5.update(samples.astype("<i2" if width > 8 else "i1").tobytes())
-        yield offset, samples
-        offset += n
-    if info[18:34] != bytes(16) and md5.digest() != info[18:34]:
-        raise ValueError("the samples' MD5 is wrong")
+        return end + 2, n, content
+
+    def frames(self, at: int, offset: int) -> Iterator[tuple[int, int, np.ndarray | _Linear]]:
+        """(sample offset, samples, content) of each frame from a place on."""
+        while offset < self.total:
+            at, n, content = self.frame(at)
+            yield offset, n, content
+            offset += n
+
+
+def _run(contents: list[np.ndarray | _Linear]) -> list[np.ndarray]:
+    done = iter(_predicted([c for c in contents if isinstance(c, _Linear)]))
+    return [next(done) if isinstance(c, _Linear) else c for c in contents]
+
+
+def all_blocks(streams: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
+    """(sample offset, samples) of each frame of each stream, all checksums verified; predictors of all streams run in step."""
+    opened = [Stream(data) for data in streams]
+    parsed = [list(s.frames(s.first, 0)) for s in opened]
+    samples = iter(_run([content for frames in parsed for _, _, content in frames]))
+    out = [[(offset, next(samples)) for offset, _, _ in frames] for frames in parsed]
+    for s, found in zip(opened, out):
+        if s.md5 != bytes(16):
+            md5 = hashlib.md5()
+            for _, x in found:
+                md5.update(_pcm(x, s.width))
+            if md5.digest() != s.md5:
+                raise ValueError("the samples' MD5 is wrong")
+    return out
+
+
+def blocks(data: bytes) -> list[tuple[int, np.ndarray]]:
+    return all_blocks([data])[0]
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -380,10 +473,12 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def seek(data: bytes, sample: int) -> tuple[int, np.ndarray]:
-    """The PCM block that holds a sample, and its offset."""
-    for offset, block in blocks(data):
-        if offset <= sample < offset + len(block):
-            return offset, block
+    """The PCM block that holds a sample, and its offset; decoded from the last seek point at or before it."""
+    stream = Stream(data)
+    offset, place = max(((p[0], p[1]) for p in stream.points if p[0] <= sample), default=(0, 0))
+    for at, n, content in stream.frames(stream.first + place, offset) if sample >= 0 else ():
+        if sample < at + n:
+            return at, _run([content])[0]
     raise IndexError(sample)
 
 
@@ -399,9 +494,9 @@ def store(raw: bytes) -> bytes:
     return encode(np.frombuffer(pad(raw), np.uint8).astype(np.int64) - 128)
 
 
-def load(media: bytes) -> list[tuple[int, bytes]]:
-    """PCM blocks (sample offset, bytes of the payload)."""
-    return [(offset, (samples + 128).astype(np.uint8).tobytes()) for offset, samples in blocks(media)]
+def load(media: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """PCM blocks (sample offset, bytes of the payload) of each stream."""
+    return [[(offset, (samples + 128).astype(np.uint8).tobytes()) for offset, samples in found] for found in all_blocks(media)]
 
 
 def feature(pcm: bytes) -> str:
@@ -417,10 +512,9 @@ def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
     def each(doc_id: list, text: list) -> dict:
         names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["media", "blocks"] if with_media else [])]
         out: dict = {"doc_id": doc_id} | {n: [] for n in names}
-        for t in text:
-            raw = utf8(t)
-            media = store(raw)
-            found = load(media)
+        raws = list(map(utf8, text))
+        stored = list(map(store, raws))
+        for raw, media, found in zip(raws, stored, load(stored)):
             pcm = b"".join(b for _, b in found)
             row = (len(raw), len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(pcm), media, [{"sample": o, "pcm": b} for o, b in found])
             for n, v in zip(names, row):

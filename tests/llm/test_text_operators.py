@@ -309,7 +309,9 @@ def test_flac_round_trips():
         x = x.astype(int)
         assert (flac.decode(flac.encode(x)) == x).all()
         assert (flac.decode(flac.encode(x, lpc=([30, -12, 3], 4))) == x).all()
-        assert (flac.decode(flac.encode(x * 200, width=16)) == x * 200).all()
+        for width, scale in ((12, 15), (16, 200), (20, 4000), (24, 60000)):
+            assert (flac.decode(flac.encode(x * scale, width=width)) == x * scale).all()
+            assert (flac.decode(flac.encode(x * scale, width=width, lpc=([30, -12, 3], 4))) == x * scale).all()
     many = r.integers(-128, 128, 300 * 16)
     media = flac.encode(many, block=16)
     assert (flac.decode(media) == many).all()
@@ -317,6 +319,52 @@ def test_flac_round_trips():
     assert offset == 4000 and (block == many[4000:4016]).all()
 
 
+#: A public sample stream: 24 samples of 8 bits, a linear predictor of order 3, four Rice partitions, checksums and MD5.
+SAMPLE = bytes.fromhex("664c6143800000221000100000001f00001f07d0007000000018f8f9e396f5cbcfc6dc807f9977906b32fff868020017e944004f6f313d1047d227cb6d090831452bdc2822228057a3")
+
+
+def test_flac_reads_a_stream_of_another_encoder():
+    assert flac.decode(SAMPLE).tolist() == [0, 79, 111, 78, 8, -61, -90, -68, -13, 42, 67, 53, 13, -27, -46, -38, -12, 14, 24, 19, 6, -4, -5, 0]
+    broken = bytearray(SAMPLE)
+    broken[30] ^= 1
+    with pytest.raises(ValueError, match="MD5"):
+        flac.decode(bytes(broken))
+
+
+def slow_linear(f):
+    x = f.start.tolist()
+    for r in f.residual.tolist():
+        x.append(r + (sum(c * x[-1 - j] for j, c in enumerate(f.coefficients)) >> f.shift))
+    return np.array(x) << f.wasted
+
+
+def test_flac_predictors_in_step_equal_one_by_one():
+    r = np.random.default_rng(5)
+    frames = [flac._Linear(r.integers(-99, 99, k), r.integers(-2000, 2000, k).tolist(), 12, r.integers(-50, 50, n), n % 3) for k, n in ((4, 900), (4, 3), (4, 900), (1, 10), (8, 77), (4, 1), (32, 100))]
+    assert all((a == slow_linear(f)).all() for a, f in zip(flac._predicted(frames), frames))
+
+
+def test_flac_store_uses_linear_predictors_and_seek_its_table(monkeypatch):
+    raw = prose(5, 30_000).encode()
+    media = flac.store(raw)
+    stream = flac.Stream(media)
+    contents = [c for *_, c in stream.frames(stream.first, 0)]
+    assert sum(isinstance(c, flac._Linear) for c in contents) > len(contents) // 2
+    whole = b"".join(b for _, b in flac.load([media])[0])
+    assert whole == flac.pad(raw)
+    read = []
+    frame = flac.Stream.frame
+    monkeypatch.setattr(flac.Stream, "frame", lambda self, at: read.append(at) or frame(self, at))
+    for at in (0, 1, flac.SEEK_EVERY - 1, flac.SEEK_EVERY, 3 * flac.SEEK_EVERY + 5, len(whole) - 1):
+        read.clear()
+        offset, block = flac.seek(media, at)
+        assert offset <= at < offset + len(block) and (block + 128).astype(np.uint8).tobytes() == whole[offset : offset + len(block)]
+        assert len(read) <= flac.SEEK_EVERY // flac.BLOCK
+    for at in (-1, len(whole)):
+        with pytest.raises(IndexError):
+            flac.seek(media, at)
+
+
 def test_flac_damage_is_found():
     media = bytearray(flac.store(prose(1, 400).encode()))
     for at in (len(media) - 3, len(media) // 2, 200):
