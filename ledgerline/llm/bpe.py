@@ -5,7 +5,8 @@ the bucket of its merge rank; a two-level bitmap over the ranks answers "lowest
 find-first-set steps. A popped position is stale, and skipped, if its pair has changed.
 The work is near-linear in the pre-token, so one pre-token of a whole document is fine.
 
-Cases: a null or empty text has no tokens; repeated rows give repeated rows; extra columns are dropped.
+Cases: a null or empty text has no tokens; a very long text or pre-token takes time in proportion to its length; equal
+pairs merge from left to right; repeated rows give repeated rows; extra columns are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 
 #: Rows whose texts and results are Python objects at one time.
 ROWS = 512
+#: Most bytes of a sample that the driver takes.
+SAMPLE_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a session without one (a local test) gets a temporary folder."""
+    """The folder all executors see; a local session without one gets a temporary folder."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerline-"))
         found = sc._jsc.sc().getCheckpointDir()
     return found.get()
 
@@ -72,10 +77,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sample_texts(df: DataFrame, key: str, column: str, most: int) -> list[str]:
-    """The texts of at most ``most`` keys, those with the least hashes; keys are picked before texts are read.
+    """The texts of at most ``most`` keys, those with the least hashes; keys are picked before texts are read. Texts that would
+    bring the sample over SAMPLE_BYTES are passed over.
 
     Null keys are left out, a repeated key counts once, a null text is empty.
     """
-    keys = [r[0] for r in df.select(key).where(F.col(key).isNotNull()).groupBy(key).agg(F.xxhash64(key).alias("_h")).orderBy("_h", key).limit(most).collect()]
+    size = F.max(F.coalesce(F.octet_length(F.col(column)), F.lit(0)))
+    listed = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.xxhash64(key).alias("_h"), size.alias("_n")).orderBy("_h", key).limit(most).collect()
+    keys, total = [], 0
+    for r in listed:
+        if total + r["_n"] <= SAMPLE_BYTES:
+            keys.append(r[0])
+            total += r["_n"]
     rows = df.where(F.col(key).isin(keys)).groupBy(key).agg(F.max(F.coalesce(F.col(column), F.lit(""))).alias("_text")).orderBy(key)
     return [r["_text"] for r in rows.collect()]

@@ -6,8 +6,9 @@ any size works and a usual one takes a single pass. Documents are scanned as arr
 rolling hash finds candidate windows, and every candidate is verified word by word.
 
 Cases: a null text or item has no words; an item without words never occurs; items with equal texts
-are all reported; repeated documents give repeated rows; extra columns are dropped, or kept untouched
-by ``drop_contaminated``; an empty benchmark leaves every document clean.
+are all reported; a very long document is scanned as arrays of a few numbers a word; repeated documents give repeated
+rows; extra columns are dropped, or kept untouched by ``drop_contaminated``; an empty benchmark leaves every document
+clean; an empty table gives no rows.
 """
 
 from __future__ import annotations

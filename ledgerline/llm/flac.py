@@ -12,7 +12,8 @@ Finding where Rice codes begin is a walk over a jump table (code start -> next c
 composed with itself four times and the walk takes every sixteenth step, so numpy does most of the work.
 
 Contract form: payload = UTF-8 bytes, then bytes 255 up to a positive multiple of 576; sample = byte - 128.
-Cases: a null or empty text is 576 bytes of 255; a damaged stream raises ``ValueError``; equal texts give
+Cases: a null or empty text is 576 bytes of 255; a very long text is many blocks, each coded alone; of equally small
+subframes the linear one is written; a damaged stream raises ``ValueError``; equal texts give
 equal rows, repeated rows repeated ones; extra columns are dropped; an empty table gives no rows.
 """
 

@@ -7,8 +7,9 @@ it is right. Long hexadecimal runs have no keyword, so they are found by one dir
 Base kinds (exact by contract): assign, access, hex. Added kinds: ``ghtoken`` (prefix, 30 characters and
 the CRC-32 of those in base 62), ``iban`` (remainder 1 modulo 97), ``card`` (Luhn). Spans are in code points.
 
-Cases: a null or empty text has no spans; equal texts give equal spans; repeated rows give repeated rows;
-extra columns are dropped, or kept untouched by ``redact``.
+Cases: a null or empty text has no spans; a very long text is passed over once; spans that start at one place are listed by
+kind, and ``redact`` joins those that overlap; equal texts give equal spans; repeated rows give repeated rows;
+extra columns are dropped, or kept untouched by ``redact``; an empty table gives no rows.
 """
 
 from __future__ import annotations

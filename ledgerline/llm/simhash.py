@@ -7,8 +7,9 @@ bucket holds at most 65 distinct fingerprints whatever the data, and all of its
 2 bits of each other, so the star keeps every component. Copies share a fingerprint and are folded
 before the shuffle.
 
-Cases: a null, empty or blank text has fingerprint zero and links like any other; rows with equal
-ids or texts share a component; extra columns are dropped; an empty table gives no rows.
+Cases: a null, empty or blank text has fingerprint zero and links like any other; a very long text is one array of
+hashes; a bit with exactly half of the hashes is 0; rows with equal ids or texts share a component; extra columns
+are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ is ever gathered. Digits are compared by hashes from two independent tables: run
 windows by 96 (content, and 32 of the other table's), so among 10^12 windows a false repeat is to be expected
 once in 10^5 runs.
 
-Cases: matches stay within a text; a null or empty text, and one shorter than WINDOW, loses nothing;
+Cases: matches stay within a text; a null or empty text, and one shorter than WINDOW, loses nothing; a text longer than
+a block is a block of its own, in about a hundred bytes of memory a byte; of equal anchors all are one;
 repeated rows lose everything if they are long enough; null ids are kept; extra columns are dropped; an
 empty table gives no rows.
 """

@@ -9,7 +9,7 @@ Archives are files in the shared folder, one a task, written under a temporary n
 a repeated task replaces its own file. Roles come from a count per digest (a partial aggregate) joined
 back by digest, which adaptive execution splits when one payload is very common.
 
-Cases: a null html is an empty payload, a null url an empty target; a null page_id is written without id
+Cases: a null html is an empty payload, a null url an empty target; a very long page is one record like any other; a null page_id is written without id
 and loses to any other of its payload; repeated rows: of those that share the largest id of a payload
 every one is the response; an empty table makes no archive and no rows; extra columns are ignored.
 """
@@ -37,11 +37,11 @@ LEAST = 0
 
 
 def build_dictionary(payloads: list[bytes]) -> bytes:
-    """A trained dictionary, or the payloads' beginnings as a raw one where there is too little to train on."""
+    """A trained dictionary; where there is too little to train on, the sampled payloads themselves are the (raw) one."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, payloads).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(p[:1024] for p in payloads)[:DICTIONARY_BYTES]
+        return b"".join(payloads)[-DICTIONARY_BYTES:]
 
 
 def skippable(dictionary: bytes) -> bytes:
