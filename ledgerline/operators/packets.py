@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
 
 # Fixed values of the packet format.
 HEADER, PAYLOAD, MAX_COUNT, HEARTBEAT, END = 20, 1400, 65534, 0, 65535
@@ -75,20 +75,17 @@ def is_valid(data: pd.Series) -> pd.Series:
     return data.map(lambda d: blocks(bytes(d)) is not None)
 
 
+@F.pandas_udf(ArrayType(BinaryType()))
+def message_bodies(data: pd.Series) -> pd.Series:
+    """The messages of each valid packet; null for others."""
+    return pd.Series([blocks(bytes(d)) if d is not None else None for d in data])
+
+
 def explode_messages(packets: DataFrame) -> DataFrame:
     """One row a message of the valid packets: seq, body, and the packet's other columns."""
     keep = [c for c in packets.columns if c not in ("data", "seq", "count", "session")]
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                (first,) = struct.unpack_from(">Q", bytes(r["data"]), 10) if len(r["data"]) >= HEADER else (0,)
-                rows += [{**{k: r[k] for k in keep}, "seq": first + i, "body": b} for i, b in enumerate(blocks(bytes(r["data"])) or [])]
-            yield pd.DataFrame(rows, columns=[*keep, "seq", "body"])
-
-    kinds = dict(packets.dtypes)
-    return packets.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), "seq long", "body binary"]))
+    found = packets.select(*keep, message_bodies("data").alias("_bodies"), _be(F.col("data"), 11, 8).cast("decimal(20,0)").cast("long").alias("_first"))
+    return found.select(*keep, "_first", F.posexplode("_bodies").alias("_at", "body")).select(*keep, (F.col("_first") + F.col("_at")).alias("seq"), "body")
 
 
 def uniform(seed: int, *keys: Column) -> Column:

@@ -9,11 +9,11 @@ TITLE = "# ledger-checkpoints v1"
 
 
 def write_checkpoints(rows: DataFrame, path: str, source: str, every: int) -> None:
-    """``book_msgs, level_digest, order_hash`` as text, in order; the last one is the final state."""
-    ordered = rows.orderBy("book_msgs").collect()
-    lines = [TITLE, f"# source {source}", f"# every {every}"]
-    lines += [f"{'final' if k == len(ordered) - 1 else 'cp'} {r.book_msgs} {r.level_digest} {r.order_hash}" for k, r in enumerate(ordered)]
-    rows.sparkSession.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, value string").coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+    """``book_msgs, level_digest, order_hash`` as text, in order; the last one is the final state. One task writes, none collects."""
+    last = rows.agg(F.max("book_msgs").alias("last"))
+    lines = rows.join(F.broadcast(last), F.lit(True)).select("book_msgs", F.concat_ws(" ", F.when(F.col("book_msgs") == F.col("last"), "final").otherwise("cp"), "book_msgs", "level_digest", "order_hash").alias("value"))  # one row
+    head = rows.sparkSession.createDataFrame([(k - 3, x) for k, x in enumerate((TITLE, f"# source {source}", f"# every {every}"))], "book_msgs long, value string")
+    head.unionByName(lines).repartition(1).sortWithinPartitions("book_msgs").select("value").write.mode("overwrite").text(path)
 
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:

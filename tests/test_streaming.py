@@ -1,15 +1,20 @@
 """Arbitration and the book as streams: any cut into batches gives what one pass gives."""
 
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions.arguments import drop_range, endpoint
 from ledgerline.operators.fold import Book
-from ledgerline.sources.feed import parse
+from ledgerline.operators.packets import pack
+from ledgerline.sinks.capture import write_bodies
+from ledgerline.sources import capture
+from ledgerline.sources.feed import frames, parse
 from ledgerline.sources.synthetic import synthetic_feed
-from ledgerline.streaming.arbiter import INPUT, SNAPSHOT, Arbiter, arbitrate
-from ledgerline.streaming.book import book_stream, top
+from ledgerline.streaming.arbiter import INPUT, SNAPSHOT, Arbiter, arbitrate, merged
+from ledgerline.streaming.book import Ladder, book_stream, top
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +82,55 @@ def test_arbiter_stream(rocks, tmp_path):
     assert got == [(k, bytes([k % 256])) for k in range(1, n + 1)]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_ladder_equals_the_book(seed):
+    """Levels changed by reference alone equal those of the whole book, odd references included."""
+    b, ladders = Book(), {}
+    rows = [r for r in parse(synthetic_feed(3000, seed, 3, wide=seed % 2 == 1))[0] if r["type"] != "R"]
+    for r in [*rows, *rows[:40]]:  # some references twice
+        values = [r.get(c) for c in ("side", "price", "shares", "new_ref")]
+        b.apply(r["type"], r["ref"], r["locate"], *values)
+        ladders.setdefault(r["locate"], Ladder({}, {})).apply(r["type"], r["ref"], *values)
+    for k, ladder in ladders.items():
+        assert ladder.levels == {(d, p): v for (locate, d, p), v in b.levels().items() if locate == k}
+
+
+def test_capture_stream(spark, tmp_path):
+    """Frames of two lines in capture files, read as a table and as a stream, merge into the messages that were sent."""
+    feed = synthetic_feed(600, 5, 3)
+    bodies = [body for _, body in frames(feed)]
+    packets = list(pack(bodies, "DAY1", 1, 300))
+    frame = lambda data, port: bytes(12) + b"\x08\x00" + struct.pack(">BBHHHBBH", 0x45, 0, 28 + len(data), 0, 0, 1, 17, 0) + bytes(8) + struct.pack(">HHHH", 1, port, 8 + len(data), 0) + data
+    lines = [[(10**18 + 1000 * k + port, frame(p, port)) for k, p in enumerate(packets) if (k + port) % 7] for port in (26400, 26401)]
+    mixed = sorted(lines[0] + lines[1] + [(5, b"junk"), (6, frame(b"short", 26400)), (7, frame(packets[0], 9))])
+    folder = tmp_path / "captures"
+    folder.mkdir()
+    half = len(mixed) // 2
+    capture.write_capture(str(folder / "a"), mixed[:half])
+    capture.write_capture(str(folder / "b"), [(at // 1000 * 1000, f) for at, f in mixed[half:]], nanos=False, order=">")
+    (folder / "b").write_bytes((folder / "b").read_bytes() + b"cut off")
+    table = capture.read_captures(spark, [str(folder / "a"), str(folder / "b")])
+    assert table.count() == len(mixed) and [bytes(r.frame) for r in table.where("capture = 0").orderBy("rx_ns").collect()] == [f for _, f in sorted(mixed[:half], key=lambda x: x[0])]
+    ports = {26400: 0, 26401: 1}
+    out = merged(capture.received(table, ports)).where("kind = 'message'")
+    assert sorted((r.seq, bytes(r.body)) for r in out.collect()) == list(enumerate(bodies, 1))
+    files = write_bodies(out.select("seq", "body"), str(tmp_path / "again"))
+    assert b"".join(open(f, "rb").read() for f in files) == feed
+    spark.dataSource.register(capture.CaptureSource)
+    q = spark.readStream.format("ledger_capture").option("path", str(folder)).load().writeStream.format("memory").queryName("frames").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+        assert spark.table("frames").count() == len(mixed)
+    finally:
+        q.stop()
+
+
+def test_arguments(spark):
+    rows = spark.createDataFrame([("host:80", "5-9"), (":1", "5-9:a"), ("*:70000", "7-8:ab"), ("nowhere", "x-2"), ("1.2.3.4:65535", "1-1:b")], "e string, r string")
+    got = [(r.e and tuple(r.e), r.r and tuple(r.r)) for r in rows.select(endpoint(F.col("e")).alias("e"), drop_range(F.col("r")).alias("r")).collect()]
+    assert got == [(("host", 80), (5, 9, True, True)), (("0.0.0.0", 1), (5, 9, True, False)), (None, (7, 8, True, True)), (None, None), (("1.2.3.4", 65535), (1, 1, False, True))]
+
+
 def test_book_stream(rocks, tmp_path):
     schema = "locate int, seq long, kind string, ref long, side string, price long, shares long, new_ref long"
     b, rows = Book(), []
@@ -88,5 +142,5 @@ def test_book_stream(rocks, tmp_path):
     out = run(rocks, tmp_path, [rows[:200], rows[200:]], schema, book_stream, "book")
     last = {r.locate: r for r in out.orderBy("seq").collect()}
     assert set(last) == {1, 2, 3}
-    assert all((r.bids, r.asks) == (top(b, k, "B"), top(b, k, "S")) for k, r in last.items())
+    assert all(([tuple(x) for x in r.bids], [tuple(x) for x in r.asks]) == (top(b, k, "B"), top(b, k, "S")) for k, r in last.items())
     assert out.groupBy("locate").agg(F.max("publish_seq").alias("a"), F.count("*").alias("b")).where("a <> b").isEmpty()
