@@ -6,6 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
@@ -42,6 +43,47 @@ def packetise(messages: DataFrame, session: str, payload: int = PAYLOAD) -> Data
     return messages.withColumn("session", F.lit(session)).groupBy("session").applyInPandas(one, "packet long, session string, seq long, count int, data binary")
 
 
+def packetise_sessions(messages: DataFrame, payload: int = PAYLOAD) -> DataFrame:
+    """``session, order, body`` -> ``packet, session, seq, count, data``: the sessions apart, each numbered from 1 in its order.
+
+    Greedy filling needs what came before, so a session is one group; its sorted rows come in batches and only the open
+    packet is held.
+    """
+
+    def one(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session = key[0].as_py().ljust(10).encode()[:10]
+        seq, packet, held, size = 1, 0, [], HEADER
+        out: list[tuple] = []
+
+        def flush() -> None:
+            nonlocal seq, packet, held, size
+            data = session + struct.pack(">QH", seq, len(held)) + b"".join(struct.pack(">H", len(b)) + b for b in held)
+            out.append((packet, session.decode(), seq, len(held), data))
+            seq, packet, held, size = seq + len(held), packet + 1, [], HEADER
+
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                if held and (size + 2 + len(body) > payload or len(held) == MAX_COUNT):
+                    flush()
+                held.append(body)
+                size += 2 + len(body)
+            if out:
+                yield _packed(out)
+                out = []
+        if held:
+            flush()
+            yield _packed(out)
+
+    schema = "packet long, session string, seq long, count int, data binary"
+    ordered = messages.select("session", "order", "body").repartition("session").sortWithinPartitions("session", "order")
+    return ordered.groupBy("session").applyInArrow(one, schema)
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["packet", "session", "seq", "count", "data"])
+
+
 def _be(data: Column, start: int, n: int) -> Column:
     return F.conv(F.hex(F.substring(data, start, n)), 16, 10)
 

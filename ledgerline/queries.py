@@ -449,4 +449,4 @@ def suppressed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The queries of the other modules register themselves.
-from ledgerline import queries_feed, queries_net, queries_reports  # noqa: E402, F401
+from ledgerline import queries_feed, queries_files, queries_net, queries_reports  # noqa: E402, F401

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import show
 from ledgerline.operators import book, latency, reporting
-from ledgerline.plans.adapter import messages
 from ledgerline.plans.effects import EFFECTS_SQL, deltas, staged_effects
 from ledgerline.queries import _VALUES, _values, latency_histogram
 from ledgerline.registry import query
