@@ -253,9 +253,17 @@ _REST = f"ceil({SIMILAR[0]} * %s / {SIMILAR[1]}) - 1"
 _ENOUGH = f"k >= ceil({SIMILAR[0]} * (m + n) / {sum(SIMILAR)}) - greatest({_REST % 'm'}, {_REST % 'n'})"
 
 
-def _judged(pairs: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Distinct pairs of ``u, v`` whose sizes ``m, n`` allow the similarity, verified; None if there are none to verify."""
-    pairs = cut_in_loop(pairs.where(_FIT).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+def _judged(pairs: DataFrame, docs: DataFrame, words: DataFrame) -> DataFrame | None:
+    """Distinct pairs of ``u, v`` whose sizes ``m, n`` allow the similarity, verified; None if there are none to verify.
+
+    Before sets are read, the shingles that the two share within their prefixes are counted; a pair with too few goes.
+    """
+    one, two = F.struct("u", "m"), F.struct(F.col("v").alias("u"), F.col("n").alias("m"))
+    fit = pairs.where(_FIT).select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+    fit = cut_in_loop(fit.select("a.u", "a.m", F.col("b.u").alias("v"), F.col("b.m").alias("n")))
+    side = lambda c: words.select(F.col("id").alias(c), F.col("words").alias(f"words_{c}"))
+    shared = F.aggregate(F.array_intersect("words_u", "words_v"), F.lit(0).cast("long"), lambda k, x: k + x["weight"])
+    pairs = cut_in_loop(fit.join(side("u"), "u").join(side("v"), "v").withColumn("k", shared).where(_ENOUGH).select("u", "v"))
     if pairs.isEmpty():
         return None
     return cut_in_loop(_verified(pairs, _sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")))))
@@ -287,19 +295,21 @@ def _near_links(docs: DataFrame, classes: DataFrame, ranks: np.ndarray) -> DataF
     Judged first are the pairs of ball hashing, and every set with the head of a bucket with which it shares
     most; a bucket's head is the set with the fewest rarer shingles, that is the nearest to what all have in common. Then,
     round by round, some members outside a bucket's largest component are judged with all members of other components in
-    all of their buckets, and leave, until one component is left in each. So each pair of a bucket is judged or already in one component, and a group of copies costs about a pair a member. Of a pair's
-    common shingles the first in the order must have enough left behind it, and enough must be within the prefixes.
+    all of their buckets, and leave, until one component is left in each. So each pair of a bucket is judged or already in
+    one component, and a group of copies costs about a pair a member. Of a pair's common shingles the first in the order
+    must have enough left behind it, and enough must be within the prefixes.
     """
     met = _buckets(docs, ranks)
-    star = met.where("id <> head.id").select(F.col("head.id").alias("u"), F.col("head.size").alias("m"), F.col("head.place").alias("i"), F.col("id").alias("v"), F.col("size").alias("n"), F.col("place").alias("j"), "weight")
-    best = star.where(_FIT).groupBy("u", "m", "v", "n").agg(F.sum("weight").alias("k")).where(_ENOUGH).groupBy("v", "n").agg(F.max_by(F.struct("u", "m"), F.struct("k", "u")).alias("to")).select("to.u", "to.m", "v", "n")
-    linked = _judged(_balls(classes).unionByName(best), docs)
+    star = met.where("id <> head.id").select(F.col("head.id").alias("u"), F.col("head.size").alias("m"), F.col("id").alias("v"), F.col("size").alias("n"), "weight")
+    prefixes = cut_in_loop(met.groupBy("id").agg(F.collect_list(F.struct("word", "weight")).alias("words")))  # a part of a set at most
+    best = star.where(_FIT).groupBy("u", "m", "v", "n").agg(F.sum("weight").alias("k")).groupBy("v", "n").agg(F.max_by(F.struct("u", "m"), F.struct("k", "u")).alias("to")).select("to.u", "to.m", "v", "n")
+    linked = _judged(_balls(classes).unionByName(best), docs, prefixes)
     if linked is None:
         linked = classes.sparkSession.createDataFrame([], "u long, v long")
     roots = cut_in_loop(connected_components(linked))
-    left, most = met.select("word", "id", "size", "place", "weight"), AT_ONCE
+    left, most = met.select("word", "id", "size", "place"), AT_ONCE
     while True:
-        named = left.join(roots, left.id == roots.node, "left").select("word", "id", "size", "place", "weight", F.coalesce("root", "id").alias("root"))
+        named = left.join(roots, left.id == roots.node, "left").select("word", "id", "size", "place", F.coalesce("root", "id").alias("root"))
         by_root = cut_in_loop(named.groupBy("word", "root").agg(F.count("*").alias("n")))
         words = by_root.groupBy("word").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
         left = cut_in_loop(named.join(words.select("word", F.col("top.root").alias("top")), "word"))
@@ -307,16 +317,15 @@ def _near_links(docs: DataFrame, classes: DataFrame, ranks: np.ndarray) -> DataF
             return roots
         rank = F.row_number().over(Window.partitionBy("word").orderBy("place", "id"))
         now = cut_in_loop(left.where("root <> top").withColumn("rank", rank).where(f"rank <= {most}").select("id").distinct().withColumn("now", F.lit(True)))
-        held = cut_in_loop(left.join(now, "id", "left").select("word", "id", "size", "place", "weight", "root", "now"))
-        one = held.where("now").select("word", F.col("id").alias("u"), F.col("size").alias("m"), F.col("place").alias("i"), F.col("root").alias("own"))
-        two = held.select("word", F.col("id").alias("v"), F.col("size").alias("n"), F.col("place").alias("j"), "weight", "root", "now")
-        met = one.join(two, "word").where("own <> root AND (now IS NULL OR u < v)").where(_FIT)
-        pairs = met.groupBy("u", "m", "v", "n").agg(F.sum("weight").alias("k"), F.bool_or(F.expr(_FIRST)).alias("first")).where("first")
-        found = _judged(pairs.where(_ENOUGH), docs)
+        held = cut_in_loop(left.join(now, "id", "left").select("word", "id", "size", "place", "root", "now"))
+        one = held.where("now").select("word", F.col("id").alias("u"), F.col("size").alias("m"), F.col("place").alias("i"), F.col("root").alias("own")).alias("one")
+        two = held.select("word", F.col("id").alias("v"), F.col("size").alias("n"), F.col("place").alias("j"), "root", "now").alias("two")
+        pairs = one.join(two, F.expr(f"one.word = two.word AND own <> root AND (now IS NULL OR u < v) AND {_FIT} AND {_FIRST}"))
+        found = _judged(pairs.select("u", "m", "v", "n"), docs, prefixes)
         if found is not None and not found.isEmpty():
             linked = linked.unionByName(found)
             roots = cut_in_loop(connected_components(linked))
-        left = held.where("now IS NULL").select("word", "id", "size", "place", "weight")
+        left = held.where("now IS NULL").select("word", "id", "size", "place")
         most *= 4
 
 
