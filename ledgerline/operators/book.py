@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.u64 import level_hash, unsigned, wrapped_hex
+from ledgerline.functions.u64 import level_move, unsigned, wrapped_hex
 from ledgerline.operators.prefix import running
 
 LEVEL = ["locate", "side", "price"]
@@ -76,9 +76,10 @@ def order_walk(live: DataFrame) -> DataFrame:
     """
     queued = queue_positions(live)
     totals = live.groupBy(*LEVEL).agg(F.count("*").alias("n"))
-    before = Window.orderBy("locate", "side", "price").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*LEVEL, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return queued.join(starts, LEVEL).withColumn("place", F.col("start") + F.col("idx")).drop("start")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    books = totals.groupBy("locate").agg(F.sum("n").alias("n")).select("locate", before(Window.orderBy("locate")).alias("book"))  # a row a book
+    starts = totals.select(*LEVEL, before(Window.partitionBy("locate").orderBy("side", "price")).alias("level")).join(F.broadcast(books), "locate")
+    return queued.join(starts.select(*LEVEL, (F.col("book") + F.col("level")).alias("start")), LEVEL).withColumn("place", F.col("start") + F.col("idx")).drop("start")
 
 
 def levels_after_each(changes: DataFrame) -> DataFrame:
@@ -99,12 +100,10 @@ def book_hashes(changes: DataFrame, every: int) -> DataFrame:
     accumulated over the stretches.
     """
     after = running(changes, LEVEL, ["seq", "sub"], {"orders": ("sum", F.col("d_orders")), "shares": ("sum", F.col("d_shares"))})
-    was = level_hash("locate", "side", "price", F.col("shares") - F.col("d_shares"), F.col("orders") - F.col("d_orders"))
-    moved = after.withColumns({"new": unsigned(level_hash("locate", "side", "price", "shares", "orders")), "old": unsigned(was)})
+    move = unsigned(level_move("locate", "side", "price", "shares", "orders", "d_shares", "d_orders"))
     stretch = F.ceil(F.col("seq") / every).cast("long")
-    sums = moved.groupBy(stretch.alias("stretch")).agg(F.sum((F.col("new") - F.col("old")).cast("decimal(22,0)")).alias("move"))
-    upto = F.sum("move").over(Window.orderBy("stretch"))
-    return sums.select((F.col("stretch") * every).alias("book_msgs"), wrapped_hex(upto).alias("book_hash"))
+    sums = after.groupBy(stretch.alias("stretch")).agg(F.sum(move).alias("move"))
+    return running(sums, [], ["stretch"], {"upto": ("sum", F.col("move"))}).select((F.col("stretch") * every).alias("book_msgs"), wrapped_hex(F.col("upto")).alias("book_hash"))
 
 
 def differences(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -7,10 +7,15 @@ its own, starting from what came before it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
+#: The first numbers of ranges by the table they were written to.
+_starts: dict[str, list[tuple[int, int]]] = {}
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], aggregates: dict[str, tuple[str, Column]], chunk: int = CHUNK) -> DataFrame:
@@ -29,17 +34,23 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggregates: dict[s
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
-    """Adds 1, 2, ... in a unique order. Ranges are sorted apart; only their sizes meet on the driver."""
+    """Adds 1, 2, ... in a unique order. Ranges are sorted apart and written once; every range's first number, a row a
+    range, is joined to its rows when they are read."""
     from ledgerline.plans.stage import shared_dir
 
-    shared_dir(df.sparkSession)
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True)
-    at = F.shiftright("_id", 33)
-    sizes = {r[0]: r[1] for r in ranged.groupBy(at.alias("p")).count().collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    if not before:
-        return ranged.withColumn(name, F.lit(0).cast("long")).drop("_id")
-    starts = F.create_map(*(F.lit(x).cast("long") for item in before.items() for x in item))
-    return ranged.withColumn(name, F.element_at(starts, at) + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id")
+    return number_ranges(df.sparkSession, write_ranges(df, order, f"{shared_dir(df.sparkSession)}/numbered-{uuid.uuid4().hex}"), name)
+
+
+def write_ranges(df: DataFrame, order: list[str], path: str) -> str:
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    return path
+
+
+def number_ranges(spark: SparkSession, path: str, name: str = "seq") -> DataFrame:
+    """The table that ``numbered`` wrote, with its numbers."""
+    rows = spark.read.parquet(path).withColumn("_range", F.shiftright("_id", 33))
+    if path not in _starts:
+        sizes = sorted(tuple(r) for r in rows.groupBy("_range").agg(F.count("*")).collect())  # a row a range
+        _starts[path] = [(k, total - n) for (k, n), total in zip(sizes, accumulate(n for _, n in sizes))]
+    starts = spark.createDataFrame(_starts[path], "_range long, _before long")
+    return rows.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id", "_range", "_before")

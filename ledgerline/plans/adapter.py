@@ -6,11 +6,13 @@ its order; it carries no side or locate of its own, as on the wire.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators.prefix import numbered
-from ledgerline.plans.stage import staged
+from ledgerline.operators.prefix import number_ranges, write_ranges
+from ledgerline.plans.stage import shared_dir, staged_list
 
 TYPES = ("A", "E", "C", "X", "D", "U")
 
@@ -25,7 +27,7 @@ def micros(df: DataFrame, column: str) -> Column:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbered stream; seq follows (ts, adds first, root, line, part, supplier)."""
 
-    def make() -> DataFrame:
+    def make() -> list[str]:
         orders, lines = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet")
         key, null = F.col("o_orderkey"), F.lit(None)
         adds = orders.select(
@@ -38,9 +40,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             micros(lines, "l_shipdate").alias("ts_us"), F.lit(1).alias("modify"), F.col("l_orderkey").alias("root"), n.alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), kind.alias("type"),
             null.cast("int").alias("locate"), null.cast("string").alias("side"), (F.col("l_partkey") % 40 * 100 + 1000000).alias("price"), (F.col("l_quantity") * 3).cast("long").alias("shares"),
         )
-        return numbered(adds.unionByName(changes), ["ts_us", "modify", "root", "line", "part", "supp"]).select("seq", "ts_us", "type", "root", "locate", "side", "price", "shares")
+        path = f"{shared_dir(spark)}/messages-{uuid.uuid4().hex}"
+        return [write_ranges(adds.unionByName(changes), ["ts_us", "modify", "root", "line", "part", "supp"], path)]
 
-    return staged(spark, f"messages:{sf_dir}", make)
+    (path,) = staged_list(spark, f"messages:{sf_dir}", make)
+    return number_ranges(spark, path).select("seq", "ts_us", "type", "root", "locate", "side", "price", "shares")
 
 
 def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
