@@ -1,22 +1,22 @@
 """Operator 7: quality classifier by importance resampling.
 
 Two generative models over hashed n-grams, one of target text (labelled good and not toxic) and one of raw text (all
-documents), give every document the log of its importance weight, log p_target - log p_raw. A model draws every feature
-of a document's set at a rate of its own (a Poisson process), so each is normalised, and the weights' mean over raw text is 1.
-Documents are then drawn without replacement by Gumbel top-k: key = log weight / TEMPERATURE + Gumbel noise, and the k
-largest keys stay, k being the number of documents whose log weight reaches the threshold. The threshold is the one
-that best separates a calibration fifth of the labelled rows, from which the models do not learn; a lost good row counts
-as CLEAN kept bad ones.
-The noise comes from a hash of the text, so copies share their fate and a rerun gives the same rows.
-
-The raw model's rates are the shares of all documents that have a feature. The target model's are theirs times a ratio, the posterior mean from the labelled rows that have the feature: with probability 1 - DIFFERENT a feature is
+documents), give every document the log of its importance weight, log p_target - log p_raw. A model draws features
+one by one from a normalised distribution over the buckets; a document is taken as WORTH draws made up as its set of
+features is, so that long and short ones are weighed alike. Documents are then drawn without replacement by Gumbel
+top-k: key = log weight / TEMPERATURE + Gumbel noise, and the k largest keys stay, k being the number of documents
+whose log weight reaches the threshold. The threshold is the one that best separates a calibration fifth of the labelled
+rows, from which the models do not learn; a lost good row counts as CLEAN kept bad ones. The noise comes from a
+hash of the text, so copies share their fate and a rerun gives the same rows.
+
+The raw model's probabilities are proportional to how many of all documents have a feature; the target model's to theirs times a ratio, the posterior mean from the labelled rows that have the feature: with probability 1 - DIFFERENT a feature is
 as frequent in target as in raw text (ratio 1), else its share of good rows has a beta prior about the overall share, of
 strength STRENGTH. The k-th key is found exactly by radix refinement: four counts of at most 65,536 bins, never a sort.
 
 Bounds: at most SAMPLE labelled rows fit the model (the smallest hashes of their ids; the only sample taken); a task sends
 five numbers a bucket, and as many reach the driver, whatever the corpus.
 
-Cases: a null, empty or very long text is a set like any other; an empty one weighs what absent features do;
+Cases: a null or empty text has no features and log weight 0; a very long one is a set like any other;
 labels that are null, repeated or without document are ignored or folded; without both kinds of labels, or without documents,
 nothing is rejected; equal keys stay or go together; repeated rows count and are drawn each; extra columns are
 dropped by ``classify`` and kept by ``accept``, whatever their names; an empty table gives no rows.
@@ -40,7 +40,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from ledgerline.llm.blocks import pack, unpack
 from ledgerline.llm.common import cut, map_batches, table, utf8
 
-BUCKETS, SAMPLE, TEMPERATURE, CLEAN = 1 << 18, 50_000, 1.0, 4.0
+BUCKETS, SAMPLE, WORTH, TEMPERATURE, CLEAN = 1 << 18, 50_000, 1000, 1.0, 2.0
 #: Prior: part of features that differ between target and raw text, and how many rows their beta prior is worth.
 DIFFERENT, STRENGTH = 0.001, 1.0
 #: Words, word pairs, and the repeat features.
@@ -77,12 +77,12 @@ def features(text: str | None) -> np.ndarray:
 
 @dataclass
 class Model:
-    weights: np.ndarray  # log ratio of the rates by bucket
-    absent: float  # what a document without features weighs
+    weights: np.ndarray  # log ratio of the probabilities by bucket
     threshold: float = -math.inf
 
     def log_weight(self, text: str | None) -> float:
-        return self.absent + float(self.weights[features(text)].sum(dtype=np.float64))
+        found = features(text)
+        return WORTH * float(self.weights[found].mean(dtype=np.float64)) if len(found) else 0.0
 
     def key(self, text: str | None, log_weight: float) -> float:
         """What the top-k draw ranks by; without a threshold all documents are alike."""
@@ -94,15 +94,15 @@ class Model:
 
 def model(good: np.ndarray, rows: np.ndarray, share: float, raw: np.ndarray) -> Model:
     """From the ``rows`` labelled rows with a feature, of which ``good`` are target, as ``share`` of all are, and the part ``raw`` of all documents that has it."""
-    if not 0 < share < 1:
-        return Model(np.zeros(len(good), np.float32), 0.0)
+    if not 0 < share < 1 or not raw.any():
+        return Model(np.zeros(len(good), np.float32))
     a, b = STRENGTH * share, STRENGTH * (1 - share)
     bad = rows - good
     same = good * math.log(share) + bad * math.log(1 - share)
     other = log_gamma(good + a) + log_gamma(bad + b) - log_gamma(rows + STRENGTH) + (math.lgamma(STRENGTH) - math.lgamma(a) - math.lgamma(b))
     differs = 1 / (1 + np.exp(np.clip(same - other + math.log((1 - DIFFERENT) / DIFFERENT), -700, 700)))
     ratio = 1 - differs + differs * (good + a) / ((rows + STRENGTH) * share)
-    return Model(np.log(ratio).astype(np.float32), float(-(raw * (ratio - 1)).sum()))
+    return Model((np.log(ratio) - math.log((raw * ratio).sum() / raw.sum())).astype(np.float32))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:

@@ -502,10 +502,11 @@ def test_quality_draw_by_brute_force(labelled, spark):
             p = quality.DIFFERENT * other / (quality.DIFFERENT * other + (1 - quality.DIFFERENT) * same)
             yield f, 1 - p + p * (g + a) / ((n + a + b) * share)
 
-    absent = -sum(seen[f] / len(table) * (r - 1) for f, r in ratios(seen))
+    scale = sum(seen[f] * r for f, r in ratios(seen)) / sum(seen.values())
 
     def weight(text):
-        return absent + sum(math.log(r) for _, r in ratios(set(quality.features(text).tolist())))
+        logs = [math.log(r / scale) for _, r in ratios(set(quality.features(text).tolist()))]
+        return quality.WORTH * sum(logs) / len(logs) if logs else 0.0
 
     held = collections.defaultdict(lambda: -math.inf)
     for i, t in table:
@@ -530,7 +531,7 @@ def test_quality_draw_by_brute_force(labelled, spark):
 
 def test_quality_draw_is_not_the_threshold():
     """Where weights lie close to the threshold some below it are drawn and some above are not."""
-    model = quality.Model(np.zeros(quality.TABLE), 0.0, 0.0)
+    model = quality.Model(np.zeros(quality.TABLE), 0.0)
     r = random.Random(4)
     weights = [r.gauss(0, 1) for _ in range(400)]
     keys = [model.key(f"text {k}", w) for k, w in enumerate(weights)]
