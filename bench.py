@@ -26,8 +26,9 @@ def main() -> None:
 
     from ledgerline.plans.adapter import messages
     from ledgerline.plans.effects import staged_effects
+    from ledgerline.plans.feed_path import decoded, feed_files
     from ledgerline.queries import QUERIES as KNOWN
-    from ledgerline.sources.feed import encode, read_feed
+    from ledgerline.sources.feed import read_feed
 
     shared = tempfile.mkdtemp(prefix="bench-")
     spark = (
@@ -55,14 +56,13 @@ def main() -> None:
     for name in QUERIES:
         timed(name, lambda name=name: sink(KNOWN[name](spark, SF_DIR)))
 
-    # The same stream as a binary feed: written once (not timed), then decoded from byte ranges.
+    # The same stream as binary files: written, decoded from byte ranges, replace chains resolved, replayed.
     n = messages(spark, SF_DIR).count()
-    path = f"{shared}/feed"
-    with open(path, "wb") as out:
-        for r in messages(spark, SF_DIR).orderBy("seq").toLocalIterator():
-            out.write(encode(r.type, r.ts_us % (1 << 47), r.locate or 0, ref=r.root, new_ref=r.root + 1, side=r.side or "B", price=r.price, shares=r.shares))
-    timed("decode_feed", lambda: read_feed(spark, path).agg(F.count("*"), F.sum("shares")).collect())
-    rates = {"decode_msgs_per_sec": round(n / done["decode_feed"]), "book_msgs_per_sec": round(n / (done["stage_effects"] + done["final_levels"]))}
+    timed("write_feed", lambda: feed_files(spark, SF_DIR))
+    timed("decode_feed", lambda: read_feed(spark, feed_files(spark, SF_DIR)).agg(F.count("*"), F.sum("shares")).collect())
+    timed("feed_roots_staged", lambda: decoded(spark, SF_DIR))
+    timed("feed_effects_and_levels", lambda: sink(KNOWN["feed_final_levels"](spark, SF_DIR)))
+    rates = {"decode_msgs_per_sec": round(n / done["decode_feed"]), "book_msgs_per_sec": round(n / (done["stage_messages"] + done["stage_effects"] + done["final_levels"])), "effects_and_levels_msgs_per_sec": round(n / (done["stage_effects"] + done["final_levels"])), "seconds_per_million": {k: round(v / n * 1e6, 2) for k, v in done.items()}}
     print(json.dumps({"metric": "headline_total", "value": round(sum(done.values()), 3), "unit": "sec", "queries": done, "messages": n, **rates, "sf": SF_DIR.rsplit("sf", 1)[-1]}))
     spark.stop()
 

@@ -61,8 +61,12 @@ def packetise_sessions(messages: DataFrame, payload: int = PAYLOAD) -> DataFrame
             out.append((packet, session.decode(), seq, len(held), data))
             seq, packet, held, size = seq + len(held), packet + 1, [], HEADER
 
+        last = None
         for batch in batches:
-            for body in batch.column("body").to_pylist():
+            for at, body in zip(batch.column("order").to_pylist(), batch.column("body").to_pylist()):
+                if last is not None and at < last:
+                    raise ValueError("a session's messages came out of order")
+                last = at
                 if held and (size + 2 + len(body) > payload or len(held) == MAX_COUNT):
                     flush()
                 held.append(body)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 def suppress(snapshots: DataFrame, key: str, order: str, time: str, state: list[str], heartbeat: int) -> DataFrame:
     """Snapshots that differ from the one sent last, or come a heartbeat after it; numbered in publish_seq.
 
-    What was sent last depends on earlier decisions, so each key is folded in order. Only the first row of
+    What was sent last depends on earlier decisions, so each key is folded in order, batch by batch. Only the first row of
     a run of equal states and rows a heartbeat apart can be sent: equal neighbours closer than that to the
     start of their run are dropped before, without Python.
     """
@@ -21,19 +23,26 @@ def suppress(snapshots: DataFrame, key: str, order: str, time: str, state: list[
     started = runs.withColumn("_started", F.min(time).over(Window.partitionBy(key, "_run")))
     likely = started.where(F.col("_new") | (F.col(time) - F.col("_started") >= heartbeat)).drop("_new", "_started")
     kinds = dict(snapshots.dtypes)
+    names = snapshots.columns
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        keep, sent_run, sent_at = [], None, None
-        for run, at in zip(pdf["_run"], pdf[time]):
-            take = run != sent_run or at - sent_at >= heartbeat
-            keep.append(take)
-            if take:
-                sent_run, sent_at = run, at
-        out = pdf[keep].drop(columns="_run")
-        return out.assign(publish_seq=range(1, len(out) + 1))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent_run, sent_at, sent, last = None, None, 0, None
+        for batch in batches:
+            keep, numbers = [], []
+            for run, at, place in zip(*(batch.column(c).to_pylist() for c in ("_run", time, order))):
+                if last is not None and place < last:
+                    raise ValueError("snapshots came out of order")
+                last = place
+                take = run != sent_run or at - sent_at >= heartbeat
+                keep.append(take)
+                if take:
+                    sent_run, sent_at, sent = run, at, sent + 1
+                    numbers.append(sent)
+            taken = batch.select(names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(numbers, pa.int64())], names=[*names, "publish_seq"])
 
-    return likely.groupBy(key).applyInPandas(fold, ", ".join(f"`{c}` {kinds[c]}" for c in snapshots.columns) + ", publish_seq long")
+    ordered = likely.repartition(key).sortWithinPartitions(key, order)
+    return ordered.groupBy(key).applyInArrow(fold, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", publish_seq long")
 
 
 def top_snapshots(changes: DataFrame, every: int, last: int, n: int) -> DataFrame:

@@ -114,3 +114,9 @@ def feed_fold_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feed_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The book hash at every EVERY-th frame of the feed, its 25 directory messages included."""
     return book.book_hashes(deltas(feed_path.feed_effects(spark, sf_dir)), EVERY)
+
+
+@query()
+def feed_digest_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest chain and order hash of the whole feed at every EVERY-th message; sequential, so without SQL."""
+    return feed_path.global_checkpoints(feed_path.decoded(spark, sf_dir), EVERY)
