@@ -12,7 +12,7 @@ from ledgerline.plans.adapter import MESSAGES_SQL
 from ledgerline.plans.effects import EFFECTS_SQL, deltas
 from ledgerline.queries import EVERY, _LEVELS, hash_sql
 from ledgerline.registry import query
-from ledgerline.sources.feed import decode_columns, encode_columns, feed_index, read_feed
+from ledgerline.sources.feed import decode_columns, encode_columns, feed_index, parse_counts, read_feed, truncated
 
 #: The adapter's messages with the references they address; directory messages come before all of them.
 WIRE_SQL = f"""{MESSAGES_SQL}, added AS (SELECT *, min(CASE WHEN type = 'A' THEN seq END) OVER (PARTITION BY root) AS add_seq, max(locate) OVER (PARTITION BY root) AS own FROM msg),
@@ -31,6 +31,14 @@ def feed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.agg(F.sum("frames").alias("messages"), F.sum(F.col("stop") - F.col("start")).alias("bytes"))
 
 
+@query(f"WITH {_FRAMES} SELECT count(*) AS messages, sum(2 + {_SIZE})::BIGINT AS bytes, count(*) FILTER ({_SIZE} < CASE type WHEN 'R' THEN 39 ELSE 19 END) AS malformed, bool_or({_SIZE} IS NULL) AS truncated FROM frame")
+def feed_parse_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a parse of the files counts: frames, bytes, those too short for their type, and whether a file is cut off."""
+    paths = feed_path.feed_files(spark, sf_dir)
+    ends = truncated(spark, paths).agg(F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"))
+    return parse_counts(spark, paths).agg(*(F.sum(c).alias(c) for c in ("messages", "bytes", "malformed"))).crossJoin(ends)  # one row each
+
+
 @query(f"WITH {_FRAMES} SELECT type, count(*) AS n FROM frame GROUP BY type")
 def feed_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed_path.decoded(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
