@@ -191,6 +191,13 @@ def test_near_copies_among_forms_by_brute_force(spark, monkeypatch, at_once):
     assert {r[0] for r in kept.select("doc_id").collect()} == {i for i, _ in table} - gone
 
 
+def test_sets_travel_in_order():
+    found = simhash.shingles(prose(9, 400))
+    again = simhash.unpack_set(simhash.pack_set(found))
+    assert (again == found >> np.uint64(16) << np.uint64(16)).all() and (np.diff(again.astype(np.float64)) > 0).all()
+    assert len(simhash.unpack_set(simhash.pack_set(found[:0]))) == 0 and len(simhash.unpack_set(simhash.pack_set(found[:1]))) == 1
+
+
 def test_near_copies_are_verified_on_distinct_shingles(spark):
     """Unlike texts with one repeated word stay; 80 of 100 shingles are enough and 79 of 101 are not."""
     dashes = [(k, prose(600 + k, 150) + " -" * 200) for k in range(3)]
