@@ -30,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of our own in the shared folder, whatever file system that is on."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder, so a lost executor costs a read and not the whole lineage."""
     shared_dir(df.sparkSession)
