@@ -1,7 +1,13 @@
 """The training-text pipeline: five stages, each an operator of ``ledgerline.llm``.
 
 Each stage is written as Parquet in the shared folder and read again before the next, so a lost executor
-repeats part of one stage. All but the last return the columns of ``documents``; the last returns token ids.
+repeats part of one stage; what a stage read is deleted once its result is written. All but the last return the
+columns of ``documents``; the last returns token ids.
+
+Cases, in every stage: a null or empty text counts as empty; a null id is kept as any other row is; a very long text is
+one row like any other; repeated rows share their fate, but of near copies only rows of the smallest id stay; ties are cut by
+rule (equal keys stay together, the smallest id wins, overlapping secrets are one); extra columns pass through untouched
+whatever their names, but for the last stage, which drops them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.bpe import encode_documents
-from ledgerline.llm.common import shared_dir, table
+from ledgerline.llm.common import remove, shared_dir, table
 from ledgerline.llm.decontaminate import drop_contaminated
 from ledgerline.llm.quality import accept
 from ledgerline.llm.secrets import redact
@@ -60,9 +66,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
