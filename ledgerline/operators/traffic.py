@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.prefix import running
@@ -32,9 +32,9 @@ def islands(df: DataFrame, keys: list[str], number: str) -> DataFrame:
     rows = df.select(*keys, F.col(number).alias("n"))
     starts = rows.join(rows.select(*keys, (F.col("n") + 1).alias("n")), [*keys, "n"], "left_anti")
     ends = rows.join(rows.select(*keys, (F.col("n") - 1).alias("n")), [*keys, "n"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("n"))
-    a = starts.select(*keys, F.col("n").alias("from"), rank.alias("_r"))
-    b = ends.select(*keys, (F.col("n") + 1).alias("to"), rank.alias("_r"))
+    ranked = lambda df: running(df.select(*keys, "n"), keys, ["n"], {"_r": ("sum", F.lit(1))})
+    a = ranked(starts).select(*keys, F.col("n").alias("from"), "_r")
+    b = ranked(ends).select(*keys, (F.col("n") + 1).alias("to"), "_r")
     return a.join(b, [*keys, "_r"]).drop("_r")
 
 
