@@ -46,7 +46,7 @@ DIFFERENT, STRENGTH = 0.001, 1.0
 #: Words, word pairs, and the repeat features.
 TABLE = 2 * BUCKETS + 16
 _TOKENS = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")
-_CACHED = 150_000
+_CACHED = 60_000
 _known: dict[bytes, int] = {}
 
 

@@ -105,7 +105,7 @@ AT_ONCE = 12
 #: Bits of the filter that spares documents without candidates.
 BITS = 1 << 26
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
-_CACHED = 150_000
+_CACHED = 60_000
 _hashes: dict[bytes, int] = {}
 
 
