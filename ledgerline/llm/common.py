@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 from collections.abc import Callable, Iterator
@@ -42,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop(spark: SparkSession, *done: DataFrame) -> None:
+    """Deletes the files of tables that ``cut`` made, and shuffle files that nothing reads any more: Spark deletes those once
+    the objects that stand for them are collected."""
+    for df in done:
+        remove(spark, df._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut_in_loop(df: DataFrame) -> DataFrame:
     """As ``cut``, for tables that are joined round after round.
 

@@ -290,6 +290,15 @@ def test_lm_beats_the_base_on_held_out_text(spark):
     assert len(out) > 5 and sum(x.score for x in out) > sum(x.base_score for x in out)
 
 
+def test_lm_contexts_are_whole_words(spark):
+    """What follows a word is learned of that word, not of all words that end alike."""
+    table = [(i, ("ax c " if i % 2 else "bx d ") * 3) for i in range(100)]
+    held = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    table += zip(held, ("ax c", "ax d", "bx d", "bx c"))
+    found = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert found[held[0]] > found[held[1]] + 1 and found[held[2]] > found[held[3]] + 1
+
+
 # --- 4 ---------------------------------------------------------------------------------------------
 
 
