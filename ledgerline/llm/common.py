@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,8 +49,10 @@ def drop(spark: SparkSession, *done: DataFrame) -> None:
     the objects that stand for them are collected."""
     for df in done:
         remove(spark, df._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # objects of Python let go of the JVM's a moment later
+        gc.collect()
+        time.sleep(0.5)
+        spark._jvm.System.gc()
 
 
 def cut_in_loop(df: DataFrame) -> DataFrame:
